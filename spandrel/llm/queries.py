@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spandrel.runtime import new_path, table
 
-from . import packing, sharding, token_counts, token_files
+from . import jaccard_join, packing, sharding, token_counts, token_files
 
 TOKEN_LIMIT = 4096
 END_BYTE_BPE, END_WORD_BPE = 2, 1
@@ -51,5 +51,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files)}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op8_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
