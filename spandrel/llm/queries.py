@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spandrel.runtime import new_path, table
 
-from . import jaccard_join, packing, sharding, token_counts, token_files
+from . import jaccard_join, packing, sharding, token_counts, token_files, toxicity
 
 TOKEN_LIMIT = 4096
 END_BYTE_BPE, END_WORD_BPE = 2, 1
@@ -51,10 +51,27 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def held_out(key: str = "doc_id"):
+    """The fold that labels are never learnt from."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op8_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op7_toxicity, op8_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

@@ -40,36 +40,32 @@ BLOCK_IDS = 8192
 GROUP_IDS = 1 << 18
 
 
+#: The class of each small value: the selector of the narrowest field that holds it.
+_CLASS = np.searchsorted(np.array([2**b for b in BITS[1:]], np.uint64), np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8) + 1
+
+
+def _classes(values: np.ndarray) -> np.ndarray:
+    """The narrowest selector for each value; 15 where none holds it."""
+    if not len(values) or values.max() < 1 << 16:
+        return _CLASS[values]
+    return (np.searchsorted(np.array([2**b for b in BITS[1:]], np.uint64), values, side="right") + 1).astype(np.uint8)
+
+
 def _block(values: np.ndarray) -> np.ndarray:
     """The words of one block."""
     n = len(values)
-    width = np.zeros(n + 64, np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        limit = np.uint64(1) << np.uint64(b)
-        width[:n][values >= limit] = b + 1
-    # width w needs a selector of at least w bits; 61 is the escape.
-    best = np.zeros(n, np.uint8)
-    high, span = width.copy(), 1
-    grown = {1: high}
-    for s in range(14, 1, -1):  # by count, ascending
-        count = COUNTS[s] if s < 15 else 1
-        while span < count:
-            step = min(span, count - span)
+    high = np.concatenate([_classes(values), np.ones(COUNTS[1], np.uint8)])
+    best, span = np.zeros(n, np.uint8), 1
+    # high[i] is the class of the widest of ``span`` values from i on; counts ascend.
+    for s in range(14, 0, -1):
+        while span < COUNTS[s]:
+            step = min(span, COUNTS[s] - span)
             high = np.maximum(high[:-step], high[step:])
             span += step
-            grown[span] = high
-        if s == 14:
-            best[high[:n] <= BITS[s]] = s
-        else:
-            fits = grown[count][:n] <= BITS[s]
-            best[fits] = s
-    # (1 bit, 60 ids) is selector 1.
-    count = COUNTS[1]
-    while span < count:
-        step = min(span, count - span)
-        high = np.maximum(high[:-step], high[step:])
-        span += step
-    best[high[:n] <= 1] = 1
+        fits = high[:n] <= s
+        if not fits.any():
+            break  # nor does any longer run of narrower ones
+        best[fits] = s
     counts = np.array(COUNTS, np.int64)[best].tolist()
     at, i = [], 0
     while i < n:
@@ -130,10 +126,12 @@ def _decode_block(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def decode(words: bytes, offsets: bytes, n: int, block_ids: int = BLOCK_IDS) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
     w, o = np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4").astype(np.int64)
     ends = [*o[1:].tolist(), len(w)]
     parts = [_decode_block(w[a:b], min(block_ids, n - i * block_ids)) for i, (a, b) in enumerate(zip(o.tolist(), ends, strict=True))]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return np.concatenate(parts)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text_col: str = "text") -> None:
