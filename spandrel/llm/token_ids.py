@@ -22,8 +22,8 @@ import json
 import os
 import re
 
-WORD_ENTRIES = 300_000
-PART_ENTRIES = 600_000
+WORD_ENTRIES = 600_000
+PART_ENTRIES = 900_000
 #: Longer words are encoded each time.
 KEPT_CHARS = 48
 
