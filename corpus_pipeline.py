@@ -1,12 +1,58 @@
-"""A corpus pipeline of four stages; each is written and read again by the next."""
+"""A corpus pipeline of four stages; each is written and read again by the next.
+
+toxicity drops the documents that the classifier rejects; near_duplicates
+keeps one document of each group (the smallest doc_id); decontamination drops
+documents that hold a benchmark item; packing returns the packed pieces of all
+that are left. A row with a null doc_id is kept by near_duplicates, unless its
+set equals that of a row with an id, and by the other stages as any row is.
+An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spandrel.llm import decontamination as leaks
+from spandrel.llm import jaccard_join, packing
+from spandrel.llm import toxicity as toxic
+from spandrel.llm.queries import END_BYTE_BPE, bounded_batches, toxicity_model
 from spandrel.runtime import materialise, table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below 0.5."""
+    bounded_batches(spark)
+    scored = toxic.score(docs, toxicity_model(spark, docs, sf_dir), keep=COLUMNS)
+    return scored.where("score < 0.5").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are their group's smallest doc_id."""
+    bounded_batches(spark)
+    found = jaccard_join.jaccard_components(docs)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    bounded_batches(spark)
+    held = leaks.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents, with a checksum of each piece's ids."""
+    bounded_batches(spark)
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_BYTE_BPE)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
 
 #: No stage can be said in SQL; tests compare them with plain versions.
 ORACLE_SQL = None

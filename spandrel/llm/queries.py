@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spandrel.runtime import new_path, table
 
-from . import jaccard_join, packing, sharding, token_counts, token_files, toxicity
+from . import decontamination, jaccard_join, packing, sharding, token_counts, token_files, toxicity
 
 TOKEN_LIMIT = 4096
 END_BYTE_BPE, END_WORD_BPE = 2, 1
@@ -73,5 +73,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op7_toxicity, op8_jaccard_join)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op7_toxicity, op8_jaccard_join, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
