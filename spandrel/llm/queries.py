@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spandrel.runtime import new_path, table
 
-from . import decontamination, jaccard_join, packing, sharding, token_counts, token_files, toxicity
+from . import decontamination, fingerprints, jaccard_join, packing, sharding, token_counts, token_files, toxicity
 
 TOKEN_LIMIT = 4096
 END_BYTE_BPE, END_WORD_BPE = 2, 1
@@ -73,10 +73,34 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    half = "cast(char_length(text) div 2 as int)"
+    edited = near.withColumn("edited", F.expr(f"concat(left(text, char_length(text) - {half}), left(next_text, {half}))"))
+    sets = edited.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        *(fingerprints.paragraphs(F.col(c)).alias(k) for k, c in (("a", "text"), ("e", "edited"), ("x", "next_text"))),
+    )
+    df = sets.withColumns({f"cells_{k}": fingerprints.sketch(F.col(k)) for k in ("a", "e", "x")})
+    for k in ("e", "x"):
+        df = fingerprints.with_difference(df, "a", k, "cells_a", f"cells_{k}", f"d_{k}")
+    return df.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.encoded(F.col("cells_a")).alias("fingerprint"),
+        fingerprints.encoded(F.col("cells_e")).alias("edited_fingerprint"),
+        fingerprints.likeness("a", "e", "d_e").alias("near_edited"),
+        fingerprints.likeness("a", "x", "d_x").alias("near_next"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op7_toxicity, op8_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op7_toxicity, op8_jaccard_join, op9_fingerprints, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
