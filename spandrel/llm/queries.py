@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spandrel.runtime import new_path, table
 
-from . import decontamination, fingerprints, jaccard_join, packing, sharding, token_counts, token_files, toxicity
+from . import decontamination, fingerprints, jaccard_join, license_scan, packing, sharding, token_counts, token_files, toxicity, url_filters
 
 TOKEN_LIMIT = 4096
 END_BYTE_BPE, END_WORD_BPE = 2, 1
@@ -51,6 +51,37 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: For pages without canonical links and refresh redirects, as those of the given tables are.
+OP5_SQL = """
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages
+), rules(action, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), best AS (
+  SELECT host, path, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(action, length(h) + length(p)) AS action
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)
+"""
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def held_out(key: str = "doc_id"):
     """The fold that labels are never learnt from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
@@ -102,5 +133,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op7_toxicity, op8_jaccard_join, op9_fingerprints, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op5_url_filters, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_fingerprints, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
