@@ -20,7 +20,8 @@ A list is never expanded into all its pairs. First every node is tried against
 the hub of each of its lists, the smallest id; what links is one component. Then, in
 lists that still meet more than one component, pairs across components are
 tried; pairs within one can add nothing to it. A pair is verified on whole
-sets, after a bound from the number of shared keys.
+sets, after bounds from the places of the shared key and from what the two
+prefixes have in common.
 
 Sets are made by the text again where they are needed (numpy, vectorised), so
 no set of an isolated document is ever stored or moved. Broadcasts are of
@@ -250,11 +251,26 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * union).select("a", "b")
 
 
-def _enough(shared, na, nb):
-    """A bound for heavy pairs: the shared prefix keys and all that follows the prefixes must reach the overlap."""
+def _may_link(na, pos_a, nb, pos_b):
+    """Whether sets of these sizes may link, and if so, whether the key is early enough in both.
+
+    Both hold a common shingle within their first n - overlap + 1.
+    """
     need = F.ceil(F.lit(PERCENT) * (na + nb) / (100 + PERCENT))
-    after = F.greatest(F.floor(na * PERCENT / 100.0 + 0.999999), F.floor(nb * PERCENT / 100.0 + 0.999999)) - 1
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (shared + after >= need)
+    sizes = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    return sizes & (F.col("light") | (pos_a <= na - need) & (pos_b <= nb - need))
+
+
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes have enough in common: what follows a prefix cannot make up for more.
+
+    ``light`` pairs are taken as they are.
+    """
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("lists").alias(f"l{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    need = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    after = F.greatest(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
+    return both.where(F.col("light") | (F.size(F.array_intersect("la", "lb")) + after >= need)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,29 +283,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     classes = materialise(keyed.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")), "classes")
     boundary = choose_boundary(keyed)
 
-    light = keyed.where(f"n <= {boundary}").select("node", "n", F.explode("pairs").alias("k"), F.lit(True).alias("light"))
-    heavy = keyed.where(f"4 * n >= {3 * (boundary + 1)}").select("node", "n", F.explode("lists").alias("k"), F.lit(False).alias("light"))
+    light = keyed.where(f"n <= {boundary}").select("node", "n", F.posexplode("pairs").alias("pos", "k"), F.lit(True).alias("light"))
+    heavy = keyed.where(f"4 * n >= {3 * (boundary + 1)}").select("node", "n", F.posexplode("lists").alias("pos", "k"), F.lit(False).alias("light"))
     rows = heavy.unionByName(light) if boundary else heavy
     shared = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    kept = rows.join(shared, "k").groupBy("k", "light", "node", "n").agg(F.lit(1).alias("one")).drop("one")
-    kept = kept.join(classes.where("rep is not null").select("node", "rep"), "node").select("k", "light", F.col("rep").alias("id"), "n")
-    # Copies in several tasks have made keys look shared that one node holds.
-    kept = materialise(kept, "kept")
-    hubs = kept.groupBy("k", "light").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("k", "light", "hub")
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """(a, b) once, if their sizes and shared keys let them link."""
-        c = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("light").alias("light"), F.count("*").alias("shared"))
-        sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-        return c.where(sizes & (F.col("light") | _enough(F.col("shared"), F.col("na"), F.col("nb"))))
-
-    sizes = classes.where("rep is not null").select(F.col("rep").alias("hub"), F.col("n").alias("nb"))
-    with_hub = kept.join(hubs, ["k", "light"]).where("id <> hub").join(sizes, "hub")
-    stars = counted(with_hub.select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), "nb", "light"))
-    tried = materialise(stars.select("a", "b"), "tried")
-
-    sets = _candidate_sets(docs, key, text_col, tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct())
-    links = materialise(_links(tried, sets), "links")
+    reps = classes.where("rep is not null").select("node", F.col("rep").alias("id"))
+    # Copies in several tasks make keys look shared that one node holds; they go with the next step.
+    kept = materialise(rows.join(shared, "k").groupBy("k", "light", "node", "n").agg(F.min("pos").alias("pos")).join(reps, "node").select("k", "light", "id", "n", "pos"), "kept")
+    hubs = kept.groupBy("k", "light").agg(F.min(F.struct("id", "n", "pos")).alias("hub"), F.max("id").alias("last")).where("hub.id <> last").select("k", "light", "hub")
+    live = kept.join(hubs.select("k", "light"), ["k", "light"], "left_semi").select("id").distinct()
+    nodes = materialise(keyed.where("size(lists) > 0").groupBy("node", "n").agg(F.any_value("lists").alias("lists")).join(reps, "node").join(live, "id", "left_semi").select("id", "n", "lists"), "nodes")
+
+    def ids(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.max("light").alias("light"))
+
+    starred = kept.join(hubs, ["k", "light"]).where(F.col("id") != F.col("hub.id")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    stars = distinct(starred.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "light"))  # the hub is the smaller id
+    tried = materialise(_promising(stars, nodes), "tried")
+    links = materialise(_links(tried, _candidate_sets(docs, key, text_col, ids(tried))), "links")
     found = components(links)
 
     labelled = kept.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -298,15 +312,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     labelled = materialise(labelled.join(several, ["k", "light"], "left_semi"), "labelled")
     met = labelled.select("k", "light", "component").distinct()
     crossing = met.withColumnRenamed("component", "ca").join(met.withColumnRenamed("component", "cb"), ["k", "light"]).where("ca < cb")
-    left = labelled.select("k", "light", F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"))
-    right = labelled.select("k", "light", F.col("component").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    crossed = crossing.join(left, ["k", "light", "ca"]).join(right, ["k", "light", "cb"]).where(near)
-    crossed = counted(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "light"))
-    rest = materialise(crossed.select("a", "b").join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    side = lambda x: labelled.select("k", "light", F.col("component").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+    crossed = crossing.join(side("a"), ["k", "light", "ca"]).join(side("b"), ["k", "light", "cb"]).where(_may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
+    crossed = distinct(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "light")).join(tried, ["a", "b"], "left_anti")
+    rest = materialise(_promising(crossed, nodes), "rest")
     if not rest.isEmpty():
-        more = _candidate_sets(docs, key, text_col, rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct())
-        links = links.unionByName(materialise(_links(rest, more), "links"))
+        links = links.unionByName(materialise(_links(rest, _candidate_sets(docs, key, text_col, ids(rest))), "links"))
         found = components(links)
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component_id"))
