@@ -89,7 +89,7 @@ def held_out(key: str = "doc_id"):
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ Two kinds of vocabulary files are read, both in that library's own format:
   file are found first, as the library does by default.
 * word ends: white space is dropped and nothing joins words across it, so a
   text's ids are its words' ids. Words come from a cache in the worker; a word
-  not there is cut into its parts, and the library's own model encodes each
-  part that is not cached either. Words with characters outside ASCII and
-  the Latin letters, or that may hold a special string, go to the library whole.
+  not there is cut into its parts, and each part that is not cached either is
+  merged by the same ranks. Words with characters outside ASCII and the Latin
+  letters, or that may hold a special string, go to the library whole.
 
 Any other file goes to the library text by text.
 """
@@ -22,8 +22,8 @@ import json
 import os
 import re
 
-WORD_ENTRIES = 600_000
-PART_ENTRIES = 900_000
+WORD_ENTRIES = 350_000
+PART_ENTRIES = 500_000
 #: Longer words are encoded each time.
 KEPT_CHARS = 48
 
@@ -34,6 +34,8 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 _PLAIN = re.compile(r"(?:(?!<\|)[!-~À-ÖØ-öø-ÿ])+")
 #: str.split() also cuts at these; the library takes them as characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Stands for the mark of a word's end; no UTF-8 text has this byte.
+WORD_END = b"\xff"
 _workers: dict = {}
 
 
@@ -44,18 +46,29 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _core(kind: dict, pattern: str, special: dict[str, int]):
+    """The file's vocabulary as merge ranks: bytes -> id, the mark of a word's end as WORD_END."""
+    import tiktoken
+
+    letters = byte_alphabet()
+    end = kind["model"].get("end_of_word_suffix") or ""
+
+    def raw(token: str) -> bytes:
+        ended = bool(end) and token.endswith(end)
+        return bytes(letters[c] for c in (token[: -len(end)] if ended else token)) + WORD_END * ended
+
+    ranks = {raw(token): i for token, i in kind["model"]["vocab"].items() if token not in special}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in kind["model"]["merges"]]
+    made = [ranks[raw(a) + raw(b)] for a, b in pairs]
+    if made != sorted(made) or end and max(ranks[bytes([b]) + WORD_END] for b in range(256)) > made[0]:
+        raise ValueError("the merges of this file are not in the order of its ids")
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+
+
 class ByteLevelIds:
     def __init__(self, kind: dict):
-        import tiktoken
-
-        letters = byte_alphabet()
         special = {x["content"]: x["id"] for x in kind["added_tokens"]}
-        ranks = {bytes(letters[c] for c in token): i for token, i in kind["model"]["vocab"].items() if token not in special}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in kind["model"]["merges"]]
-        made = [ranks[bytes(letters[c] for c in a + b)] for a, b in pairs]
-        if made != sorted(made):
-            raise ValueError("the merges of this file are not in the order of its ids")
-        self.core = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+        self.core = _core(kind, BYTE_LEVEL_SPLIT, special)
         self.special = set(special)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -90,15 +103,13 @@ class _Words(dict):
 
 
 class WordEndIds(LibraryIds):
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: dict):
         super().__init__(path)
-        self.model = self.tokenizer.model
-        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.core = _core(kind, r"\S+", {x["content"]: x["id"] for x in kind["added_tokens"]})
         self.words, self.parts = _Words(self._word), _Words(self._part)
 
     def _part(self, part: str) -> bytes:
-        shown = "".join(map(self.alphabet.__getitem__, part.encode()))
-        return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array.array("I", self.core.encode_single_piece(part.encode() + WORD_END)).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):
@@ -130,7 +141,7 @@ def worker(path: str):
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer") and not model.get("end_of_word_suffix"):
             _workers[path] = ByteLevelIds(kind)
         elif model.get("end_of_word_suffix") and pre.get("type") == "Sequence" and "Lowercase" in json.dumps(kind.get("normalizer")):
-            _workers[path] = WordEndIds(path)
+            _workers[path] = WordEndIds(path, kind)
         else:
             _workers[path] = LibraryIds(path)
     return _workers[path]

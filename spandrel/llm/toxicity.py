@@ -280,23 +280,24 @@ def train(sentences: list[tuple[int, list[list[str]]]], landmarks: int = LANDMAR
     return Model(flat, bias, max(slope, 1e-3), shift)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """From rows of key, text and label; at most MOST_TOXIC and MOST_CLEAN of them come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """From the texts of at most MOST_TOXIC and MOST_CLEAN rows of ``labels``, which come to the driver one by one."""
     order = F.xxhash64(F.lit(7), F.col(key))
-    rows = labelled.where(F.col(text_col).isNotNull()).select(key, text_col, label_col)
-    parts = [rows.where(F.col(label_col) == y).orderBy(order, key).limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    sentences: list[tuple[int, list[list[str]]]] = []
-    for part in parts:
-        for r in part.toLocalIterator():
-            seen: set[str] = set()
-            cut = []
-            for s in _SENTENCE.split(r[text_col]):
-                new = [w for w in words_of(s) if w not in seen]
-                seen.update(new)
-                if new:
-                    cut.append(new)
-            sentences.append((int(r[label_col]), cut))
-    return train(sentences)
+    known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(label_col).alias(label_col))
+    parts = [known.where(F.col(label_col) == y).orderBy(order, key).limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
+    chosen = parts[0].unionByName(parts[1])  # bounded, so it is safe to broadcast
+    rows = docs.where(F.col(text_col).isNotNull()).select(key, text_col).join(F.broadcast(chosen), key)
+    found = []
+    for r in rows.toLocalIterator():
+        seen: set[str] = set()
+        cut = []
+        for s in _SENTENCE.split(r[text_col]):
+            new = [w for w in words_of(s) if w not in seen]
+            seen.update(new)
+            if new:
+                cut.append(new)
+        found.append((r[key], int(r[label_col]), cut))
+    return train([(y, cut) for _, y, cut in sorted(found, key=lambda x: (x[0], x[1]))])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
