@@ -168,6 +168,10 @@ class Matcher:
             self.answers.append(set(kept))
         norm = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.where(norm > 0, norm, 1)
+        # Words of which a document must have one to pass the answer check.
+        self.telling = np.zeros(len(vocabulary) + 1, bool)
+        for answer in self.answers:
+            self.telling[list(answer)] = True
         # Windows by size class: each item meets windows of about 1.5 times its length.
         sizes: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
@@ -176,9 +180,10 @@ class Matcher:
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item, cosine, share of the item in order, first word) of each item that is in a document."""
-        known = ids >= 0
-        if not known.any():
+        # Other words have number -1, which is the last place and false.
+        if not self.telling[ids].any() and self.least[2] > 0:
             return []
+        known = ids >= 0
         mass = np.where(known, self.idf[ids], np.float32(self.unknown)) ** 2
         total = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
         inside = np.concatenate([[0], np.cumsum(mass * known, dtype=np.float64)])
@@ -187,7 +192,7 @@ class Matcher:
             starts = np.arange(0, max(1, len(ids) - width + max(1, width // 4)), max(1, width // 4))
             ends = np.minimum(starts + width, len(ids))
             share = (inside[ends] - inside[starts]) / np.maximum(total[ends] - total[starts], 1e-12)
-            # An item may be shorter than the document's stretch around it: its own mass is what counts.
+            # An item fills at least a part of its window: less than that share and no item of the class is in it.
             for at in np.flatnonzero(share >= self.least[0] ** 2 / 2):
                 window = ids[starts[at] : ends[at]]
                 w, x = _tfidf(window[window >= 0].astype(np.int64), self.idf)
