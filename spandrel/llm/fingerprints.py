@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, TABLES, PARAGRAPH, SPLIT = 30, 3, 128, 16
+CELLS, TABLES, PARAGRAPH, SPLIT = 30, 3, 256, 8
 #: Peeling ends by itself; a sketch that still has single cells after so many rounds counts as failed.
 ROUNDS = 10
 #: Splits tried: SPLIT ** LEVELS sketches at most for one pair of texts.
@@ -33,17 +33,27 @@ BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 20_000
 _FIRST = -(1 << 63)
 
 
-def _cell(x: Column, j: Column) -> Column:
-    """Whether digest x is in cell j: each table takes other bits of the digest."""
+def _placed(x: Column, **more: Column) -> Column:
+    """A digest, its second hash, and its cell in each table; each takes other bits of the digest."""
     per = CELLS // TABLES
-    bits = F.call_function("shiftrightunsigned", x, (F.floor(j / per).cast("int") * 20 + 3))
-    return F.pmod(bits, F.lit(per)) == F.pmod(j, F.lit(per))
+    cells = [F.pmod(F.call_function("shiftrightunsigned", x, F.lit(20 * t + 3)), F.lit(per)).cast("int").alias(f"c{t}") for t in range(TABLES)]
+    return F.struct(x.alias("x"), F.xxhash64(x).alias("h"), *cells, *[c.alias(k) for k, c in more.items()])
 
 
 def _empty() -> Column:
     return F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
 
 
+def _by_table(cell) -> Column:
+    """The cells of all tables, one after the other, by ``cell(table, number in it)``."""
+    per = CELLS // TABLES
+
+    def table(t: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda j: cell(t, j))
+
+    return F.concat(*map(table, range(TABLES)))
+
+
 def paragraphs(text: Column) -> Column:
     """The set of digests of a text's paragraphs."""
     cut = F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PARAGRAPH}}}|\\n"), F.lit(0))
@@ -54,11 +64,14 @@ def paragraphs(text: Column) -> Column:
 
 def sketch(digests: Column) -> Column:
     """The cells of a set of digests."""
+    return F.get(F.transform(F.array(F.transform(digests, lambda x: _placed(x))), _cells), F.lit(0))
 
-    def cell(j: Column) -> Column:
-        return F.aggregate(F.filter(digests, lambda x: _cell(x, j)), _empty(), lambda s, x: F.struct((s["n"] + 1).alias("n"), s["x"].bitwiseXOR(x).alias("x"), s["c"].bitwiseXOR(F.xxhash64(x)).alias("c")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+def _cells(entries: Column) -> Column:
+    def add(s: Column, e: Column) -> Column:
+        return F.struct((s["n"] + 1).alias("n"), s["x"].bitwiseXOR(e["x"]).alias("x"), s["c"].bitwiseXOR(e["h"]).alias("c"))
+
+    return _by_table(lambda t, j: F.aggregate(F.filter(entries, lambda e: e[f"c{t}"] == j), _empty(), add))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -67,15 +80,17 @@ def subtract(a: Column, b: Column) -> Column:
 
 def _single(cells: Column) -> Column:
     """The digests of cells that hold one, with its sign."""
-    found = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["x"]) == c["c"]))
-    return F.array_distinct(F.transform(found, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"))))
+    found = F.filter(cells, lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (F.xxhash64(c["x"]) == c["c"]))
+    return F.array_distinct(F.transform(found, lambda c: _placed(c["x"], n=c["n"])))
 
 
 def _without(cells: Column, keys: Column) -> Column:
-    def cell(c: Column, j: Column) -> Column:
-        return F.aggregate(F.filter(keys, lambda k: _cell(k["x"], j)), c, lambda s, k: F.struct((s["n"] - k["n"]).alias("n"), s["x"].bitwiseXOR(k["x"]).alias("x"), s["c"].bitwiseXOR(F.xxhash64(k["x"])).alias("c")))
+    per = CELLS // TABLES
+
+    def take(s: Column, k: Column) -> Column:
+        return F.struct((s["n"] - k["n"]).alias("n"), s["x"].bitwiseXOR(k["x"]).alias("x"), s["c"].bitwiseXOR(k["h"]).alias("c"))
 
-    return F.transform(cells, cell)
+    return _by_table(lambda t, j: F.aggregate(F.filter(keys, lambda k: k[f"c{t}"] == j), F.get(cells, j + t * per), take))
 
 
 def peel(cells: Column) -> Column:
@@ -96,29 +111,54 @@ def encoded(cells: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(hexes, ""))), "\r\n", "")
 
 
-def _parts(parts: Column, level: int) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _split(parts: Column, level: Column) -> Column:
     """Each pair of sets as SPLIT pairs, one a hash class."""
 
     def split(p: Column) -> Column:
         def one(i: Column) -> Column:
-            inside = lambda x: F.pmod(F.xxhash64(x, F.lit(level)), F.lit(SPLIT)) == i
-            return F.struct(F.filter(p["a"], inside).alias("a"), F.filter(p["b"], inside).alias("b"))
+            inside = lambda x: F.pmod(F.xxhash64(x, level), F.lit(SPLIT)) == i
+            return F.struct(p["kind"].alias("kind"), F.filter(p["a"], inside).alias("a"), F.filter(p["b"], inside).alias("b"))
 
         return F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), one)
 
     return F.flatten(F.transform(parts, split))
 
 
-def with_difference(df: DataFrame, a: str, b: str, cells_a: str, cells_b: str, out: str) -> DataFrame:
-    """``df`` with ``out``: how many digests one only of the sets ``a`` and ``b`` has, from their sketches."""
-    d, parts, got = f"__{out}_d", f"__{out}_parts", f"__{out}_got"
-    df = df.withColumn(got, peel(subtract(F.col(cells_a), F.col(cells_b))))
-    df = df.withColumns({d: F.when(F.col(got)["done"], F.col(got)["d"]).otherwise(0), parts: F.when(F.col(got)["done"], F.array().cast("array<struct<a:array<bigint>,b:array<bigint>>>")).otherwise(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))))})
-    for level in range(1, LEVELS + 1):
-        df = df.withColumn(got, F.transform(_parts(F.col(parts), level), lambda p: F.struct(p.alias("p"), peel(subtract(sketch(p["a"]), sketch(p["b"]))).alias("r"))))
-        done = F.filter(F.col(got), lambda g: g["r"]["done"])
-        df = df.withColumns({d: F.col(d) + F.aggregate(done, F.lit(0), lambda s, g: s + g["r"]["d"]), parts: F.transform(F.filter(F.col(got), lambda g: ~g["r"]["done"]), lambda g: g["p"])})
-    return df.withColumn(out, F.when(F.size(parts) == 0, F.col(d)).otherwise(F.raise_error(F.lit("a difference was not recovered")).cast("int"))).drop(d, parts, got)
+def _tried(p: Column, cells: Column) -> Column:
+    return F.struct(p["kind"].alias("kind"), p["a"].alias("a"), p["b"].alias("b"), peel(cells).alias("r"))
+
+
+def _recovered(tried: Column) -> Column:
+    return F.transform(F.filter(tried, lambda t: t["r"]["done"]), lambda t: F.struct(t["kind"].alias("kind"), t["r"]["d"].alias("d")))
+
+
+def _rest(tried: Column) -> Column:
+    return F.transform(F.filter(tried, lambda t: ~t["r"]["done"]), lambda t: F.struct(t["kind"].alias("kind"), t["a"].alias("a"), t["b"].alias("b")))
+
+
+def with_differences(df: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """``df`` with a column for each of ``pairs`` (set, set, their sketches): how many digests one only of the sets has."""
+    names = list(pairs)
+    first = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), subtract(F.col(ca), F.col(cb)).alias("cells")) for k, (a, b, ca, cb) in enumerate(pairs.values())])
+    df = df.withColumn("__first", F.transform(first, lambda p: _tried(p, p["cells"])))
+    start = F.struct(_rest(F.col("__first")).alias("parts"), _recovered(F.col("__first")).alias("out"))
+
+    def step(s: Column, level: Column) -> Column:
+        def more() -> Column:
+            tried = F.transform(_split(s["parts"], level), lambda p: _tried(p, subtract(sketch(p["a"]), sketch(p["b"]))))
+            return _let(tried, lambda t: F.struct(_rest(t).alias("parts"), F.concat(s["out"], _recovered(t)).alias("out")))
+
+        return F.when(F.size(s["parts"]) == 0, s).otherwise(more())
+
+    df = df.withColumn("__end", F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step))
+    failed = F.raise_error(F.lit("a difference was not recovered")).cast("int")
+    count = lambda k: F.aggregate(F.filter("__end.out", lambda o: o["kind"] == k), F.lit(0), lambda s, o: s + o["d"])
+    return df.withColumns({n: F.when(F.size("__end.parts") == 0, count(k)).otherwise(failed) for k, n in enumerate(names)}).drop("__first", "__end")
 
 
 def likeness(a: str, b: str, d: str) -> Column:

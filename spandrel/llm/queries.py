@@ -115,8 +115,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(fingerprints.paragraphs(F.col(c)).alias(k) for k, c in (("a", "text"), ("e", "edited"), ("x", "next_text"))),
     )
     df = sets.withColumns({f"cells_{k}": fingerprints.sketch(F.col(k)) for k in ("a", "e", "x")})
-    for k in ("e", "x"):
-        df = fingerprints.with_difference(df, "a", k, "cells_a", f"cells_{k}", f"d_{k}")
+    df = fingerprints.with_differences(df, {f"d_{k}": ("a", k, "cells_a", f"cells_{k}") for k in ("e", "x")})
     return df.select(
         "doc_id",
         "n_chars",
