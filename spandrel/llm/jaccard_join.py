@@ -261,38 +261,42 @@ def _may_link(na, pos_a, nb, pos_b):
     return sizes & (F.col("light") | (pos_a <= na - need) & (pos_b <= nb - need))
 
 
-def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes have enough in common: what follows a prefix cannot make up for more.
 
     ``light`` pairs are taken as they are.
     """
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("lists").alias(f"l{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"l{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")  # light sets may have no prefix here
     need = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-    after = F.greatest(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
+    # A prefix has n - ceil(0.75 n) + 1 shingles.
+    after = F.ceil(F.lit(PERCENT) * F.greatest("na", "nb") / 100) - 1
     return both.where(F.col("light") | (F.size(F.array_intersect("la", "lb")) + after >= need)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, n_shingles, component_id of every document."""
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
+    """key, n_shingles, component_id of every document. ``boundary``: the largest light set, at most LIGHT_MOST; chosen by cost if not given."""
     spark = docs.sparkSession
     ship(spark)
     key_type = docs.schema[key].dataType.simpleString()
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col).tobytes())
     keyed = materialise(docs.select(F.col(key).alias("id"), docs[text_col].alias("text")).mapInArrow(_keyed(levels), f"id {key_type}, n bigint, node bigint, lists array<bigint>, pairs array<bigint>, cost double"), "keyed")
     classes = materialise(keyed.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")), "classes")
-    boundary = choose_boundary(keyed)
+    boundary = choose_boundary(keyed) if boundary is None else boundary
 
-    light = keyed.where(f"n <= {boundary}").select("node", "n", F.posexplode("pairs").alias("pos", "k"), F.lit(True).alias("light"))
-    heavy = keyed.where(f"4 * n >= {3 * (boundary + 1)}").select("node", "n", F.posexplode("lists").alias("pos", "k"), F.lit(False).alias("light"))
+    # Size, place in the prefix and kind of key in one number: rows are many and hashes don't compress.
+    packed = "shiftleft(n, 24) + pos * 2"
+    light = keyed.where(f"n <= {boundary}").select("node", "n", F.posexplode("pairs").alias("pos", "k")).select("k", "node", F.expr(f"{packed} + 1").alias("m"))
+    heavy = keyed.where(f"4 * n >= {3 * (boundary + 1)}").select("node", "n", F.posexplode("lists").alias("pos", "k")).select("k", "node", F.expr(packed).alias("m"))
     rows = heavy.unionByName(light) if boundary else heavy
     shared = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     reps = classes.where("rep is not null").select("node", F.col("rep").alias("id"))
     # Copies in several tasks make keys look shared that one node holds; they go with the next step.
-    kept = materialise(rows.join(shared, "k").groupBy("k", "light", "node", "n").agg(F.min("pos").alias("pos")).join(reps, "node").select("k", "light", "id", "n", "pos"), "kept")
+    met = rows.join(shared, "k").groupBy("k", "node").agg(F.min("m").alias("m")).join(reps, "node")
+    kept = materialise(met.select("k", F.expr("m % 2 = 1").alias("light"), "id", F.expr("shiftright(m, 24)").alias("n"), F.expr("cast(shiftright(m % 16777216, 1) as int)").alias("pos")), "kept")
     hubs = kept.groupBy("k", "light").agg(F.min(F.struct("id", "n", "pos")).alias("hub"), F.max("id").alias("last")).where("hub.id <> last").select("k", "light", "hub")
-    live = kept.join(hubs.select("k", "light"), ["k", "light"], "left_semi").select("id").distinct()
-    nodes = materialise(keyed.where("size(lists) > 0").groupBy("node", "n").agg(F.any_value("lists").alias("lists")).join(reps, "node").join(live, "id", "left_semi").select("id", "n", "lists"), "nodes")
+    # Only keys that are shared can be common: a prefix is what is left of it.
+    prefixes = materialise(kept.where("not light").join(hubs.select("k", "light"), ["k", "light"], "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.collect_list("k").alias("keys")), "prefixes")
 
     def ids(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -302,7 +306,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
 
     starred = kept.join(hubs, ["k", "light"]).where(F.col("id") != F.col("hub.id")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     stars = distinct(starred.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "light"))  # the hub is the smaller id
-    tried = materialise(_promising(stars, nodes), "tried")
+    tried = materialise(_promising(stars, prefixes), "tried")
     links = materialise(_links(tried, _candidate_sets(docs, key, text_col, ids(tried))), "links")
     found = components(links)
 
@@ -315,7 +319,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     side = lambda x: labelled.select("k", "light", F.col("component").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
     crossed = crossing.join(side("a"), ["k", "light", "ca"]).join(side("b"), ["k", "light", "cb"]).where(_may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
     crossed = distinct(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "light")).join(tried, ["a", "b"], "left_anti")
-    rest = materialise(_promising(crossed, nodes), "rest")
+    rest = materialise(_promising(crossed, prefixes), "rest")
     if not rest.isEmpty():
         links = links.unionByName(materialise(_links(rest, _candidate_sets(docs, key, text_col, ids(rest))), "links"))
         found = components(links)
