@@ -12,8 +12,9 @@
 4. A candidate counts if the longest common subsequence of words covers
    ``least_common`` of the item in a stretch of the document about as long as
    the item, and the answer is there: the words of column ``answer`` where
-   the benchmark has one, else the item's rarest quarter of words, of which
-   ``least_answer`` must be in that stretch. Paraphrases keep both.
+   the benchmark has one, else the item's rarest quarter of words (of those
+   that the documents have at all), of which ``least_answer`` must be in that
+   stretch. Paraphrases keep both.
 
 The benchmark is a stated query set: it goes over all rows in blocks of at most
 BLOCK_ITEMS items and BLOCK_BYTES bytes, which bounds every broadcast.
@@ -39,7 +40,7 @@ from spandrel.runtime import ship
 BLOCK_ITEMS, BLOCK_BYTES = 5_000, 8 << 20
 LEAST_WORDS = 5
 RANK, POWER_ROUNDS = 256, 2
-LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.5, 0.6, 0.5
+LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.5, 0.6, 0.3
 CACHE_ENTRIES = 300_000
 _SEED = 11
 
@@ -152,7 +153,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Matcher:
     """Items of a block, ready to be met by documents."""
 
-    def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, unknown: float, basis: np.ndarray, least: tuple[float, float, float]):
+    def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, unknown: float, basis: np.ndarray, least: tuple[float, float, float], seen: np.ndarray):
         self.vocabulary, self.idf, self.unknown, self.basis, self.least = vocabulary, idf.astype(np.float32), unknown, basis, least
         self.keys = [k for k, _, _ in items]
         self.words = [np.array([vocabulary[w] for w in ws], np.int64) for _, ws, _ in items]
@@ -163,7 +164,8 @@ class Matcher:
             latent[i] = x @ basis[w]
             kept = [vocabulary[a] for a in answer]
             if not kept:
-                rare = w[np.argsort(-idf[w], kind="stable")]
+                there = w[seen[w]] if seen[w].any() else w
+                rare = there[np.argsort(-idf[there], kind="stable")]
                 kept = rare[: max(1, math.ceil(len(w) / 4))].tolist()
             self.answers.append(set(kept))
         norm = np.linalg.norm(latent, axis=1, keepdims=True)
@@ -266,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         idf = np.maximum(idf, 1e-3)
         passages = spark.createDataFrame([([vocabulary[w] for w in ws],) for _, ws, _ in items], "ids array<int>").repartition(8)
         basis = latent_space(passages, len(vocabulary), idf)
-        matcher = spark.sparkContext.broadcast(Matcher(items, vocabulary, idf, math.log(n + 1), basis, (least_cosine, least_common, least_answer)))
+        matcher = spark.sparkContext.broadcast(Matcher(items, vocabulary, idf, math.log(n + 1), basis, (least_cosine, least_common, least_answer), np.array([counts[i] > 0 for i in range(len(vocabulary))])))
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.value
