@@ -5,10 +5,10 @@
    rows, gives a latent space: partial products come from the partitions and
    only a (words of the block) x (rank) matrix reaches the driver.
 3. Every document is cut into overlapping windows, as long as the items of a
-   size class ask for. The cosine of a window with anything in that space is
-   at most the share of its TF-IDF mass on words of the benchmark, so windows
-   below the threshold there are left out exactly. The rest are projected and
-   meet the items by cosine.
+   size class ask for. A window is left out only if step 4 would refuse every
+   item there: by counts of the item's words and answer words, which no other
+   word and no number of documents changes. The rest are projected and meet
+   the items by cosine.
 4. A candidate counts if the longest common subsequence of words covers
    ``least_common`` of the item in a stretch of the document about as long as
    the item, and the answer is there: the words of column ``answer`` where
@@ -137,6 +137,11 @@ def latent_space(passages: DataFrame, n_words: int, idf: np.ndarray, rank: int =
     return q.astype(np.float32)
 
 
+def _least_count(share: float, n: int) -> int:
+    """The smallest count that is at least ``share`` of ``n``."""
+    return next(k for k in range(max(0, math.ceil(share * n) - 1), n + 2) if k / n >= share or k > n)
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a bit a word of ``a``."""
     at: dict[int, int] = {}
@@ -153,8 +158,8 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Matcher:
     """Items of a block, ready to be met by documents."""
 
-    def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, unknown: float, basis: np.ndarray, least: tuple[float, float, float], seen: np.ndarray):
-        self.vocabulary, self.idf, self.unknown, self.basis, self.least = vocabulary, idf.astype(np.float32), unknown, basis, least
+    def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, basis: np.ndarray, least: tuple[float, float, float], seen: np.ndarray):
+        self.vocabulary, self.idf, self.basis, self.least = vocabulary, idf.astype(np.float32), basis, least
         self.keys = [k for k, _, _ in items]
         self.words = [np.array([vocabulary[w] for w in ws], np.int64) for _, ws, _ in items]
         latent = np.zeros((len(items), basis.shape[1]), np.float32)
@@ -170,10 +175,17 @@ class Matcher:
             self.answers.append(set(kept))
         norm = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.where(norm > 0, norm, 1)
-        # Words of which a document must have one to pass the answer check.
-        self.telling = np.zeros(len(vocabulary) + 1, bool)
-        for answer in self.answers:
-            self.telling[list(answer)] = True
+        # Answer word -> items, as one list with bounds; how many of them, and of its words in a stretch, an item needs.
+        by_word: list[list[int]] = [[] for _ in vocabulary]
+        for i, answer in enumerate(self.answers):
+            for w in answer:
+                by_word[w].append(i)
+        self.posted = np.array([i for ix in by_word for i in ix], np.int64)
+        self.bounds = np.cumsum([0, *map(len, by_word)])
+        # Other words have number -1, which is the last place and false.
+        self.telling = np.array([*map(bool, by_word), False])
+        self.least_answers = np.array([_least_count(least[2], len(a)) for a in self.answers])
+        self.least_words = [_least_count(least[1], len(w)) for w in self.words]
         # Windows by size class: each item meets windows of about 1.5 times its length.
         sizes: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
@@ -182,31 +194,48 @@ class Matcher:
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item, cosine, share of the item in order, first word) of each item that is in a document."""
-        # Other words have number -1, which is the last place and false.
-        if not self.telling[ids].any() and self.least[2] > 0:
+        told = np.flatnonzero(np.bincount(ids[self.telling[ids]], minlength=1))
+        counts = np.zeros(len(self.keys), np.int64)
+        for w in told.tolist():
+            counts[self.posted[self.bounds[w] : self.bounds[w + 1]]] += 1
+        places = {i: p for i in np.flatnonzero(counts >= self.least_answers).tolist() if (p := self._places(i, ids)) is not None}
+        if not places:
             return []
-        known = ids >= 0
-        mass = np.where(known, self.idf[ids], np.float32(self.unknown)) ** 2
-        total = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
-        inside = np.concatenate([[0], np.cumsum(mass * known, dtype=np.float64)])
         best: dict[int, tuple[float, float, int]] = {}
         for width, items in self.classes.items():
+            items = [i for i in items.tolist() if i in places]
+            if not items:
+                continue
             starts = np.arange(0, max(1, len(ids) - width + max(1, width // 4)), max(1, width // 4))
             ends = np.minimum(starts + width, len(ids))
-            share = (inside[ends] - inside[starts]) / np.maximum(total[ends] - total[starts], 1e-12)
-            # An item fills at least a part of its window: less than that share and no item of the class is in it.
-            for at in np.flatnonzero(share >= self.least[0] ** 2 / 2):
+            # Which windows have a place of an item in the part of the document that _verify looks at.
+            near = np.zeros((len(items), len(starts)), bool)
+            for row, i in zip(near, items, strict=True):
+                n = len(self.words[i])
+                row[:] = np.searchsorted(places[i], ends + n) > np.searchsorted(places[i], starts - n)
+            for at in np.flatnonzero(near.any(axis=0)):
                 window = ids[starts[at] : ends[at]]
                 w, x = _tfidf(window[window >= 0].astype(np.int64), self.idf)
                 v = x @ self.basis[w]
                 norm = np.linalg.norm(v)
                 if not norm > 0:
                     continue
-                cosines = self.latent[items] @ (v / norm)
+                kept = [i for i, there in zip(items, near[:, at].tolist(), strict=True) if there]
+                cosines = self.latent[kept] @ (v / norm)
                 for j in np.flatnonzero(cosines >= self.least[0]):
-                    self._verify(int(items[j]), float(cosines[j]), ids, int(starts[at]), int(ends[at]), best)
+                    self._verify(kept[j], float(cosines[j]), ids, int(starts[at]), int(ends[at]), best)
         return [(i, *x) for i, x in sorted(best.items())]
 
+    def _places(self, item: int, ids: np.ndarray) -> np.ndarray | None:
+        """Where stretches with enough of an item's words begin; a common subsequence is no longer than their count."""
+        words = self.words[item]
+        counts = np.concatenate([[0], np.cumsum(np.isin(ids, words))])
+        if counts[-1] < self.least_words[item]:
+            return None
+        ends = np.minimum(np.arange(len(ids)) + math.ceil(1.3 * len(words)), len(ids))
+        places = np.flatnonzero(counts[ends] - counts[:-1] >= self.least_words[item])
+        return places if len(places) else None
+
     def _verify(self, item: int, cosine: float, ids: np.ndarray, start: int, end: int, best: dict) -> None:
         words = self.words[item]
         n = len(words)
@@ -268,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         idf = np.maximum(idf, 1e-3)
         passages = spark.createDataFrame([([vocabulary[w] for w in ws],) for _, ws, _ in items], "ids array<int>").repartition(8)
         basis = latent_space(passages, len(vocabulary), idf)
-        matcher = spark.sparkContext.broadcast(Matcher(items, vocabulary, idf, math.log(n + 1), basis, (least_cosine, least_common, least_answer), np.array([counts[i] > 0 for i in range(len(vocabulary))])))
+        matcher = spark.sparkContext.broadcast(Matcher(items, vocabulary, idf, basis, (least_cosine, least_common, least_answer), np.array([counts[i] > 0 for i in range(len(vocabulary))])))
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.value

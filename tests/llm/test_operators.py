@@ -309,6 +309,23 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contaminated(none, benchmark).count() == 0 and decontamination.contaminated(df, benchmark.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_of_common_words(spark):
+    """Items of words that half of the documents have, among words that no item has."""
+    rng = random.Random(12)
+    common = [f"b{k}" for k in range(60)]
+    items = [(i, " ".join(rng.sample(common, 17))) for i in range(12)]
+    rows, want = [], set()
+    for i in range(200):
+        words = [w for k in rng.sample(range(60), 30) for w in (common[k], *(f"u{rng.randrange(500)}" for _ in range(9)))]
+        if i % 4 == 0:
+            words += [*(f"u{rng.randrange(500)}" for _ in range(40)), *items[i % 12][1].split(), *(f"u{rng.randrange(500)}" for _ in range(40))]
+            want.add((i, i % 12))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["common"] for r in decontamination.contaminated(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {k for k, common in got.items() if common == 1.0} == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
 def test_common_subsequence(a, b):
