@@ -287,6 +287,30 @@ def test_fingerprints(spark, texts):
     assert fingerprints.with_next(df.where("doc_id < 0")).count() == 0
 
 
+def differences(spark, pairs):
+    df = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
+    df = df.withColumns({"ca": fingerprints.sketch(df["a"]), "cb": fingerprints.sketch(df["b"])})
+    return [(set(r["a"]) ^ set(r["b"]), r["d"]) for r in fingerprints.with_differences(df, {"d": ("a", "b", "ca", "cb")}).collect()]
+
+
+def test_fingerprints_of_like_digests(spark):
+    """Digests with the same first cells and the same class in every split."""
+    x = "xxhash64(id)"
+    cells = [f"pmod(shiftrightunsigned(x, {20 * t + 3}), 10)" for t in range(3)]
+    classes = [f"pmod(xxhash64(x, {level}), 8)" for level in range(1, 7)]
+    alike = spark.range(60_000).selectExpr(f"{x} AS x").selectExpr("x", f"struct({', '.join(cells + classes)}) AS k").groupBy("k").agg({"x": "collect_list"}).where("size(`collect_list(x)`) > 1")
+    pairs = [(r[1], [7]) for r in alike.collect()]
+    assert pairs
+    assert all(d == len(want) for want, d in differences(spark, pairs))
+
+
+def test_fingerprints_beyond_the_last_split(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "LEVELS", 1)
+    rng = random.Random(8)
+    a, b = ([rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (2000, 900))
+    assert all(d == len(want) for want, d in differences(spark, [(a, b), (a, a[:50]), (a, [*a[1:], 5])]))
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(9)
     items = [(i, " ".join(f"w{rng.randrange(4000)}x" if rng.random() < 0.7 else rng.choice(WORDS) for _ in range(rng.randrange(12, 60)))) for i in range(30)] + [(90, None), (91, ""), (92, "too short")]
