@@ -30,13 +30,17 @@ def ship(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, a
-    laptop) is a local folder made, and set for checkpoint() as well.
+    ``spark.checkpoint.dir`` names it. Only where that is unset and the master
+    is local (tests, a laptop) is a local folder made, and set for checkpoint()
+    as well; elsewhere executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark.sparkContext, "_spandrel_root", None)
         if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; the master is {master}")
             root = f"file://{tempfile.mkdtemp(prefix='spandrel-shared-')}"
             spark.sparkContext.setCheckpointDir(root)
             spark.sparkContext._spandrel_root = root
@@ -44,7 +48,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it goes when the application ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -55,7 +68,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spandrel_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames that materialise() gave and that nothing reads any more."""
+    for df in frames:
+        where, fs = _hadoop(df.sparkSession, df._spandrel_path)
+        fs.delete(where, True)
+
+
+#: Bytes of an Arrow batch to a Python worker: its texts, their copies and what is made of them stay small.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, or one row, in this session.
+
+    Spark reads the setting when a frame runs, not when it is made, so it can't
+    be put back here. A smaller bound stays; the number of rows is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
