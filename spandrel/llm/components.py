@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.runtime import materialise
+from spandrel.runtime import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, "edges")
+        e, old = materialise(small, "edges"), e
+        discard(old)
         after = _state(e)
         if after == before:
             break

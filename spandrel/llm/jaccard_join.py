@@ -16,22 +16,32 @@ shingles within their first s - c(s) + k under any common order.
 * The boundary is chosen by cost: subsets to enumerate against the lengths of
   the lists to scan, summed by size over all documents.
 
-A list is never expanded into all its pairs. First every node is tried against
-the hub of each of its lists, the smallest id; what links is one component. Then, in
-lists that still meet more than one component, pairs across components are
-tried; pairs within one can add nothing to it. A pair is verified on whole
-sets, after bounds from the places of the shared key and from what the two
-prefixes have in common.
+A list is never expanded into all its pairs.
+
+1. Every node is tried against the hub of each of its lists, its least node;
+   what links is one component, so a group of copies with few changes is done
+   with one try a member.
+2. In lists that still meet several components, a node stays only if the list
+   has a node small enough that the place of the key leaves room for a link
+   (_most_size). Then the nodes outside of the list's largest component meet
+   all others: within a component nothing can be added to it. Size and place
+   are part of the join, so only pairs pass that may link by both. Long lists
+   are dealt over several tasks by a salt.
+
+A pair is verified on whole sets, after a bound from what the two prefixes
+have in common.
 
 Sets are made by the text again where they are needed (numpy, vectorised), so
 no set of an isolated document is ever stored or moved. Broadcasts are of
 fixed size: the sketch (at most 2**24 bytes) and a bitmap of candidates
 (2**20 bytes) that only saves work.
 
-A null or empty text, and one without words, has an empty set and links with
-nothing. Repeated rows are copies of each other. Rows with a null key link by
-equal sets only, and a component takes its smallest non-null key. An empty
-table gives an empty result. Other columns are ignored.
+Nodes are named by a 64-bit digest of the set, and keys of documents come in
+at the end only. A null or empty text, and one without words, has an empty set
+and links with nothing. Repeated rows, of one key or several, are copies of
+each other if their sets are equal; rows of one key with unlike texts are
+nodes of their own. A component takes its smallest non-null key, null if it has
+none. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +50,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.runtime import materialise, ship
+from spandrel.runtime import discard, materialise, ship
 
 from .components import components
 
@@ -54,6 +64,8 @@ LIGHT_MOST = 48
 CACHE_ENTRIES = 300_000
 BITMAP_BITS = 1 << 23
 _CHUNK = 1 << 16
+#: Nodes of a list that one task compares with others at most.
+SALT_ROWS = 4096
 #: Odd multipliers of the word hashes in a shingle, one a position.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -186,7 +198,7 @@ def _keyed(shared_levels):
         seen: set[int] = set()
         for b in batches:
             out = [[] for _ in range(5)]
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingles(text)
                 node = _digest(s)
                 lists, pairs, cost = prefix_keys(s, levels) if node not in seen else (s[:0], s[:0], 0.0)
@@ -195,7 +207,7 @@ def _keyed(shared_levels):
                 for column, x in zip(out, (len(s), node, _signed(lists), _signed(pairs), cost), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["id", "n", "node", "lists", "pairs", "cost"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["id", "row", "n", "node", "lists", "pairs", "cost"])
 
     return run
 
@@ -215,37 +227,49 @@ def choose_boundary(keyed: DataFrame) -> int:
     return boundary
 
 
+def row_name(key: str, text_col: str) -> Column:
+    """Rows with equal key and text have the same, and as good as no others."""
+    return F.xxhash64(F.col(key), F.lit(0), F.col(text_col))
+
+
 def _set_rows(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
+        seen: set[int] = set()
         for b in batches:
-            ids = b.column(0).to_pylist()
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            wanted = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
-            texts = b.column(1)
-            out = [_signed(shingles(texts[i].as_py())) for i in wanted.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in wanted.tolist()], b.schema.field(0).type), pa.array(out, pa.list_(pa.int64()))], names=["id", "set"])
+            at = b.column(1).to_numpy(zero_copy_only=False)
+            texts = b.column(0)
+            nodes, sets = [], []
+            for i in np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1).tolist():
+                s = shingles(texts[i].as_py())
+                node = _digest(s)
+                if node not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+                    nodes.append(node)
+                    sets.append(_signed(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return run
 
 
-def _candidate_sets(docs: DataFrame, key: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(id, set) for the ids of ``wanted``, from the texts, without moving texts."""
+def _candidate_sets(docs: DataFrame, key: str, text_col: str, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, set) for the nodes of ``wanted``, from the texts, without moving texts."""
     spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+    bit = F.pmod(F.col("row"), F.lit(BITMAP_BITS))
+    words = wanted.join(classes, "node").select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)  # at most that many rows come here
     for r in words:
         bitmap[r["word"]] = r["bits"]
     shared = spark.sparkContext.broadcast(bitmap.astype("<i8").tobytes())
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text_col).alias("text")).withColumn("bit", bit)
-    sets = rows.mapInArrow(_set_rows(shared), f"id {docs.schema[key].dataType.simpleString()}, set array<bigint>")
-    return materialise(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    rows = docs.select(docs[text_col].alias("text"), row_name(key, text_col).alias("row")).withColumn("bit", bit).select("text", "bit")
+    sets = rows.mapInArrow(_set_rows(shared), "node bigint, set array<bigint>")
+    return materialise(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return both.where(100 * common >= PERCENT * union).select("a", "b")
@@ -261,12 +285,19 @@ def _may_link(na, pos_a, nb, pos_b):
     return sizes & (F.col("light") | (pos_a <= na - need) & (pos_b <= nb - need))
 
 
+def _most_size(n, pos):
+    """The size of the largest set that may link with one of size ``n`` by a key at ``pos``: pos <= n - overlap, solved for the other's size."""
+    by_size = F.floor(100 * n / PERCENT)
+    by_place = F.floor((100 + PERCENT) * (n - pos) / PERCENT) - n
+    return F.when(F.col("light"), by_size).otherwise(F.least(by_size, by_place))
+
+
 def _promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes have enough in common: what follows a prefix cannot make up for more.
 
     ``light`` pairs are taken as they are.
     """
-    side = lambda x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"l{x}"))
+    side = lambda x: prefixes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"l{x}"))
     both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")  # light sets may have no prefix here
     need = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
     # A prefix has n - ceil(0.75 n) + 1 shingles.
@@ -274,59 +305,116 @@ def _promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return both.where(F.col("light") | (F.size(F.array_intersect("la", "lb")) + after >= need)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
-    """key, n_shingles, component_id of every document. ``boundary``: the largest light set, at most LIGHT_MOST; chosen by cost if not given."""
+def _crossing(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b, light), a > b, of nodes that a list holds, of two components, and that may link by size and place."""
+    labelled = kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = labelled.groupBy("k", "light", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    lists = parts.groupBy("k", "light").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.min("least").alias("least"), F.max(F.struct("c", "component"))["component"].alias("largest"))
+    lists = lists.where("parts > 1").select("k", "light", "least", "largest", F.expr(f"cast((c + {SALT_ROWS - 1}) div {SALT_ROWS} as int)").alias("salts"))
+    rows = labelled.join(lists, ["k", "light"]).where(_most_size(F.col("n"), F.col("pos")) >= F.col("least"))
+    rows = materialise(rows, "labelled")
+    # The salt deals one side over tasks; the other goes to each of them.
+    outside = rows.where("component <> largest").withColumn("salt", F.expr("cast(pmod(node, salts) as int)"))
+    every = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    side = lambda df, x: df.select("k", "light", "salt", *(["largest"] if x == "b" else []), F.col("component").alias(f"c{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+    # Of two nodes outside of the largest component each meets the other; one of these meetings is enough.
+    once = (F.col("cb") == F.col("largest")) | (F.col("a") > F.col("b"))
+    met = side(outside, "a").join(side(every, "b"), ["k", "light", "salt"]).where((F.col("ca") != F.col("cb")) & once & _may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
+    out = materialise(_distinct(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "light")), "crossing")
+    discard(rows)
+    return out
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("light").alias("light"))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def jaccard_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
+    """(id, row, n, node, component, component_id) of every document.
+
+    ``row`` names a row by key and text, ``node`` its set of size ``n``, and
+    ``component`` the component by its smallest node; component_id is the
+    smallest key there. ``boundary``: the largest light set, at most
+    LIGHT_MOST; chosen by cost if not given.
+    """
     spark = docs.sparkSession
     ship(spark)
     key_type = docs.schema[key].dataType.simpleString()
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col).tobytes())
-    keyed = materialise(docs.select(F.col(key).alias("id"), docs[text_col].alias("text")).mapInArrow(_keyed(levels), f"id {key_type}, n bigint, node bigint, lists array<bigint>, pairs array<bigint>, cost double"), "keyed")
-    classes = materialise(keyed.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")), "classes")
+    named = docs.select(F.col(key).alias("id"), row_name(key, text_col).alias("row"), docs[text_col].alias("text"))
+    keyed = materialise(named.mapInArrow(_keyed(levels), f"id {key_type}, row bigint, n bigint, node bigint, lists array<bigint>, pairs array<bigint>, cost double"), "keyed")
+    classes = materialise(keyed.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.min("row").alias("row")), "classes")
     boundary = choose_boundary(keyed) if boundary is None else boundary
 
     # Size, place in the prefix and kind of key in one number: rows are many and hashes don't compress.
-    packed = "shiftleft(n, 24) + pos * 2"
+    packed = "shiftleft(n, 32) + pos * 2L"
     light = keyed.where(f"n <= {boundary}").select("node", "n", F.posexplode("pairs").alias("pos", "k")).select("k", "node", F.expr(f"{packed} + 1").alias("m"))
     heavy = keyed.where(f"4 * n >= {3 * (boundary + 1)}").select("node", "n", F.posexplode("lists").alias("pos", "k")).select("k", "node", F.expr(packed).alias("m"))
     rows = heavy.unionByName(light) if boundary else heavy
     shared = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    reps = classes.where("rep is not null").select("node", F.col("rep").alias("id"))
     # Copies in several tasks make keys look shared that one node holds; they go with the next step.
-    met = rows.join(shared, "k").groupBy("k", "node").agg(F.min("m").alias("m")).join(reps, "node")
-    kept = materialise(met.select("k", F.expr("m % 2 = 1").alias("light"), "id", F.expr("shiftright(m, 24)").alias("n"), F.expr("cast(shiftright(m % 16777216, 1) as int)").alias("pos")), "kept")
-    hubs = kept.groupBy("k", "light").agg(F.min(F.struct("id", "n", "pos")).alias("hub"), F.max("id").alias("last")).where("hub.id <> last").select("k", "light", "hub")
+    met = rows.join(shared, "k").groupBy("k", "node").agg(F.min("m").alias("m"))
+    kept = materialise(met.select("k", F.expr("m % 2 = 1").alias("light"), "node", F.expr("shiftright(m, 32)").alias("n"), F.expr("shiftright(m % 4294967296, 1)").alias("pos")), "kept")
+    hubs = kept.groupBy("k", "light").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select("k", "light", "hub")
     # Only keys that are shared can be common: a prefix is what is left of it.
-    prefixes = materialise(kept.where("not light").join(hubs.select("k", "light"), ["k", "light"], "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.collect_list("k").alias("keys")), "prefixes")
+    prefixes = materialise(kept.where("not light").join(hubs.select("k", "light"), ["k", "light"], "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.collect_list("k").alias("keys")), "prefixes")
 
-    def ids(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def distinct(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.max("light").alias("light"))
-
-    starred = kept.join(hubs, ["k", "light"]).where(F.col("id") != F.col("hub.id")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    stars = distinct(starred.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "light"))  # the hub is the smaller id
+    starred = kept.join(hubs, ["k", "light"]).where(F.col("node") != F.col("hub.node")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    stars = _distinct(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "light"))  # the hub is the smaller node
     tried = materialise(_promising(stars, prefixes), "tried")
-    links = materialise(_links(tried, _candidate_sets(docs, key, text_col, ids(tried))), "links")
+    sets = _candidate_sets(docs, key, text_col, _nodes(tried), classes)
+    links = materialise(_links(tried, sets), "links")
+    discard(sets)
     found = components(links)
 
-    labelled = kept.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    met = labelled.groupBy("k", "light", "component").agg(F.lit(1).alias("one")).drop("one")
-    several = met.groupBy("k", "light").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "light")
-    labelled = materialise(labelled.join(several, ["k", "light"], "left_semi"), "labelled")
-    met = labelled.select("k", "light", "component").distinct()
-    crossing = met.withColumnRenamed("component", "ca").join(met.withColumnRenamed("component", "cb"), ["k", "light"]).where("ca < cb")
-    side = lambda x: labelled.select("k", "light", F.col("component").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-    crossed = crossing.join(side("a"), ["k", "light", "ca"]).join(side("b"), ["k", "light", "cb"]).where(_may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
-    crossed = distinct(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "light")).join(tried, ["a", "b"], "left_anti")
-    rest = materialise(_promising(crossed, prefixes), "rest")
+    crossed = _crossing(kept, found)
+    rest = materialise(_promising(crossed.join(tried, ["a", "b"], "left_anti"), prefixes), "rest")
+    discard(crossed, kept, prefixes, tried)
     if not rest.isEmpty():
-        links = links.unionByName(materialise(_links(rest, _candidate_sets(docs, key, text_col, ids(rest))), "links"))
+        sets = _candidate_sets(docs, key, text_col, _nodes(rest), classes)
+        links = materialise(links.unionByName(_links(rest, sets)), "links")
+        discard(sets)
         found = components(links)
+    discard(rest, links)
+
+    least = classes.join(found, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = found.join(least, "component").select("node", "component", "component_id")
+    whole = classes.join(of_node, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = keyed.select("id", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    # Rows without a set must not meet in one task.
+    full = rows.where("n > 0").join(whole, "node", "left").select("id", "row", "n", "node", "component", "component_id")
+    none = rows.where("n = 0").select("id", "row", "n", "node", F.lit(None).cast("bigint").alias("component"), F.col("id").alias("component_id"))
+    return full.unionByName(none)
 
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        keyed.select("id", F.col("n").alias("n_shingles"), "node", F.col("n"))
-        .join(named, ["node", "n"], "left")
-        .select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    )
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
+    """key, n_shingles, component_id of every document."""
+    rows = jaccard_rows(docs, key, text_col, boundary)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the smallest key's, null keys last, then by the row's hash.
+
+    Of rows equal in key and text, any one stays. Rows without words are no
+    group's and all stay.
+    """
+    columns = docs.columns
+    rows = materialise(jaccard_rows(docs, key, text_col).where("n > 0").select("id", "row", "component"), "grouped")
+    each = rows.groupBy("component", "id", "row").agg(F.count("*").alias("c"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "c")).alias("first"))
+    dropped = each.join(first, "component").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))))
+    dropped = materialise(dropped.select(F.col("id").alias("__id"), F.col("row").alias("__name")), "dropped")
+    again = materialise(first.where("first.c > 1").select(F.col("first.id").alias("__id"), F.col("first.row").alias("__name")), "again")
+    discard(rows)
+    named = docs.withColumn("__row", row_name(key, text_col))
+    same = (F.col("__row") == F.col("__name")) & F.col(key).eqNullSafe(F.col("__id"))
+    kept = named.join(dropped, same, "left_anti")
+    if not again.isEmpty():
+        repeated = kept.join(again, same, "left_semi").dropDuplicates([key, "__row"])
+        kept = kept.join(again, same, "left_anti").unionByName(repeated)
+    return kept.select(*columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.runtime import new_path, table
+from spandrel.runtime import bound_batches, new_path, table
 
 from . import decontamination, fingerprints, jaccard_join, license_scan, packing, sharding, token_counts, token_files, toxicity, url_filters
 
@@ -14,19 +14,14 @@ TOKEN_LIMIT = 4096
 END_BYTE_BPE, END_WORD_BPE = 2, 1
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: few rows to a batch keep Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_BYTE_BPE)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
@@ -45,7 +40,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     path = new_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_WORD_BPE)
     return token_files.read(spark, path, with_ids=False)
@@ -78,7 +73,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
@@ -93,14 +88,14 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
@@ -128,7 +123,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bound_batches(spark)
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

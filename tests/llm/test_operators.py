@@ -271,6 +271,42 @@ def test_jaccard_join(spark, docs, none, texts):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("boundary", [0, None])
+def test_jaccard_join_of_hot_lists(spark, monkeypatch, boundary):
+    """Lists that unlike sets share by the hundred, among them a large group of near copies; every list is dealt by a salt."""
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 32)
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    near = [f"n{i}" for i in range(150)]
+    texts = []
+    for i in range(300):  # a passage of two thirds to four fifths of the text
+        own = [f"o{i}x{j}" for j in range(rng.randrange(14, 28))]
+        texts.append(" ".join(passage + own))
+    for _ in range(200):  # changed here and there, so that many copies are unlike each other
+        w = list(near)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, boundary=boundary).collect()}
+    want = plain_groups(texts)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_jaccard_join_of_odd_keys(spark):
+    """Null and repeated keys: each text is a node of its own, and a component has its smallest key."""
+    a, b = "one two three four five six seven eight", "quite other words than those of the first text here"
+    rows = [(1, a), (None, a), (1, b), (0, b), (None, "a text that only a row without a key has"), (7, None), (None, ""), (7, None), (3, a), (3, a)]
+    df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id bigint, text string, node string, n int").repartition(3)
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == Counter({(1, 4, 1): 1, (None, 4, 1): 1, (1, 6, 0): 1, (0, 6, 0): 1, (None, 6, None): 1, (7, 0, 7): 2, (None, 0, None): 1, (3, 4, 1): 2})
+    kept = Counter(tuple(r) for r in jaccard_join.one_of_each(df).select("doc_id", "text").collect())
+    assert kept == Counter({(1, a): 1, (0, b): 1, rows[4]: 1, (7, None): 2, (None, ""): 1})
+    again = jaccard_join.one_of_each(spark.createDataFrame([(2, a, "x"), (2, a, "y"), (2, b, "x"), (None, a, "x")], "doc_id bigint, text string, lang string"))
+    assert again.columns == ["doc_id", "text", "lang"] and sorted((r["doc_id"], r["text"]) for r in again.collect()) == sorted([(2, a), (2, b)])
+
+
 def test_fingerprints(spark, texts):
     rng = random.Random(6)
     many = [*texts, "\n".join(sentence(rng, 5) for _ in range(300)), "\n".join(sentence(rng, 5) for _ in range(3))]
