@@ -271,12 +271,16 @@ def _blocks(benchmark: DataFrame, key: str, text_col: str) -> Iterator[list]:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col: str = "text", item_key: str = "item_id", least_cosine: float = LEAST_COSINE, least_common: float = LEAST_COMMON, least_answer: float = LEAST_ANSWER) -> DataFrame:
-    """(key, item_key, cosine, common, first_word): an item in a document, with how much of it is there in order, and where."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | tuple[str, ...] = "doc_id", text_col: str = "text", item_key: str = "item_id", least_cosine: float = LEAST_COSINE, least_common: float = LEAST_COMMON, least_answer: float = LEAST_ANSWER) -> DataFrame:
+    """(key, item_key, cosine, common, first_word): an item in a document, with how much of it is there in order, and where.
+
+    ``key``: a column, or several, that come with each row.
+    """
     spark = docs.sparkSession
     ship(spark)
-    kinds = {f.name: f.dataType.simpleString() for f in (docs.schema[key], benchmark.schema[item_key])}
-    out = f"`{key}` {kinds[key]}, `{item_key}` {kinds[item_key]}, cosine double, common double, first_word bigint"
+    keys = [key] if isinstance(key, str) else list(key)
+    columns = [(k, docs.schema[k].dataType.simpleString()) for k in keys] + [(item_key, benchmark.schema[item_key].dataType.simpleString())]
+    out = ", ".join(f"`{k}` {kind}" for k, kind in columns) + ", cosine double, common double, first_word bigint"
     found = None
     texts = docs.select(docs[text_col].alias("__text"))
     for block in _blocks(benchmark, item_key, "text"):
@@ -304,13 +308,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             ids = _Ids(m.vocabulary)
             for b in batches:
                 rows = [[] for _ in range(5)]
-                for i, text in enumerate(b.column(1).to_pylist()):
+                for i, text in enumerate(b.column(len(keys)).to_pylist()):
                     for item, cosine, common, first in m.matches(ids.of(text)) if text else ():
                         for column, x in zip(rows, (i, m.keys[item], cosine, common, first), strict=True):
                             column.append(x)
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0])), pa.array(rows[1]), *(pa.array(x, k) for x, k in zip(rows[2:], (pa.float64(), pa.float64(), pa.int64()), strict=True))], names=[key, item_key, "cosine", "common", "first_word"])
+                    places = pa.array(rows[0])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(places) for c in range(len(keys))), pa.array(rows[1]), *(pa.array(x, k) for x, k in zip(rows[2:], (pa.float64(), pa.float64(), pa.int64()), strict=True))], names=[*keys, item_key, "cosine", "common", "first_word"])
 
-        part = docs.select(key, docs[text_col].alias("__text")).mapInArrow(run, out)
+        part = docs.select(*keys, docs[text_col].alias("__text")).mapInArrow(run, out)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], out)
