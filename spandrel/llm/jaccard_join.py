@@ -18,9 +18,10 @@ shingles within their first s - c(s) + k under any common order.
 
 A list is never expanded into all its pairs.
 
-1. Every node is tried against the hub of each of its lists, its least node;
-   what links is one component, so a group of copies with few changes is done
-   with one try a member.
+1. Every node is tried against the hub of each of its lists, the node that has
+   the key earliest: it has the fewest shingles of its own, as the original of
+   a group of near copies has. What links is one component, so such a group is
+   done with one try a member.
 2. In lists that still meet several components, a node stays only if the list
    has a node small enough that the place of the key leaves room for a link
    (_most_size). Then the nodes outside of the list's largest component meet
@@ -359,12 +360,12 @@ def jaccard_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", b
     # Copies in several tasks make keys look shared that one node holds; they go with the next step.
     met = rows.join(shared, "k").groupBy("k", "node").agg(F.min("m").alias("m"))
     kept = materialise(met.select("k", F.expr("m % 2 = 1").alias("light"), "node", F.expr("shiftright(m, 32)").alias("n"), F.expr("shiftright(m % 4294967296, 1)").alias("pos")), "kept")
-    hubs = kept.groupBy("k", "light").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select("k", "light", "hub")
+    hubs = kept.groupBy("k", "light").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("k", "light", "hub")
     # Only keys that are shared can be common: a prefix is what is left of it.
     prefixes = materialise(kept.where("not light").join(hubs.select("k", "light"), ["k", "light"], "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.collect_list("k").alias("keys")), "prefixes")
 
     starred = kept.join(hubs, ["k", "light"]).where(F.col("node") != F.col("hub.node")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    stars = _distinct(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "light"))  # the hub is the smaller node
+    stars = _distinct(starred.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"), "light"))
     tried = materialise(_promising(stars, prefixes), "tried")
     sets = _candidate_sets(docs, key, text_col, _nodes(tried), classes)
     links = materialise(_links(tried, sets), "links")
