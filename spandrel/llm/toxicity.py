@@ -12,22 +12,33 @@ feature space. A linear machine on those features collapses into one weight a
 subsequence, so scoring a word is a sum of look-ups and costs nothing more for
 more landmarks.
 
-Training is on labelled sentences. A sentence of a clean document has only
-clean words; a sentence of a toxic one is known to be toxic only through some
-sentence of its document, so the machine and the choice of the toxic word
-(the witness) alternate a few rounds. A document's score is a logistic function
-of its highest word score, fitted on training documents.
+Training is on labelled sentences, and the unit is the word: a sentence of a
+clean document has only clean words; a sentence of a toxic one is known to be
+toxic only through its document, so the machine and the choice of the toxic
+words (the witnesses) alternate a few rounds. A word broken by a space into
+parts of two or more letters, and an insult made of ordinary words, has no
+word that tells and is not found. A document's score is a logistic function of
+its highest word score, fitted on training documents.
 
 Fitting uses at most MOST_TOXIC and MOST_CLEAN labelled documents, those of
-the smallest hashes of the key: a documented bound, the same at any size. All
-documents are scored, whole. A null or empty text, and one without a word of
-three letters, scores as a document of clean words does. Without labels of
-both kinds every score is 0.
+the smallest hashes of the key: a documented bound, the same at any size. Of
+their clean words at most MOST_NEGATIVES train the machine, two fifths of them
+the most frequent ones and the rest at equal steps, and in each round
+HARD_NEGATIVES more that it took for toxic ones. A toxic document has at most
+WITNESSES witnesses. Words are cut in the tasks that read the texts,
+and one task fits the machine on them; the driver gets the weights.
+
+All documents are scored, whole. A null or empty text, and one without a word
+of three letters, scores as a document of clean words does. Without labels of
+both kinds every score is 0 (next to it, by the logistic function). Of labelled
+rows with one key the one with the smallest hash of the text is learnt from; a
+key with labels of both kinds is toxic. Repeated rows are scored each, and
+equal texts equally. An empty table gives an empty result. Columns named
+``score`` or like inner ones in the input do no harm.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +55,10 @@ MOST_TOXIC, MOST_CLEAN = 1500, 3000
 LANDMARKS = 400
 DECAY, SPAN = 0.6, 6
 ROUNDS = 4
+#: Bounds of the fit: clean words of the machine, and witnesses of a toxic document.
+MOST_NEGATIVES, WITNESSES, HARD_NEGATIVES = 20_000, 8, 1_000
+#: A witness is in so many times the share of toxic documents as of clean ones.
+TELLING = 4
 CACHE_ENTRIES = 400_000
 #: Longer words are taken apart into windows of this many letters, half of each in the next.
 WINDOW = 24
@@ -173,15 +188,20 @@ class Scorer:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss by Newton steps."""
-    z = np.concatenate([x, np.ones((len(x), 1))], 1)
-    ridge = np.eye(z.shape[1])
+    """A linear machine with squared hinge loss by Newton steps; sums of products go by blocks of rows."""
+    size = x.shape[1] + 1
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-3
-    w = np.zeros(z.shape[1])
+    w = np.zeros(size)
     for _ in range(30):
-        active = y * (z @ w) < 1
-        za, ca = z[active], cost[active]
-        new = np.linalg.solve(ridge + za.T @ (za * ca[:, None]), za.T @ (ca * y[active]))
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        gram, right = ridge.copy(), np.zeros(size)
+        for at in range(0, len(active), 2048):
+            rows = active[at : at + 2048]
+            z = np.concatenate([x[rows], np.ones((len(rows), 1), x.dtype)], 1).astype(np.float64)
+            gram += z.T @ (z * cost[rows, None])
+            right += z.T @ (cost[rows] * y[rows])
+        new = np.linalg.solve(gram, right)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -204,34 +224,51 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return w[0], w[1]
 
 
-def _top(words: list[bytes], scores: list[float], within: float, most: int = 8) -> list[bytes]:
-    """The words of the highest scores."""
-    ranked = sorted(zip(scores, words, strict=True), key=lambda x: (-x[0], x[1]))
-    return [w for s, w in ranked[:most] if s >= ranked[0][0] - within]
+def _top(words: np.ndarray, scores: np.ndarray, within: float) -> np.ndarray:
+    """The words of the highest scores, WITNESSES at most; ``words`` are numbers in the order of their letters."""
+    order = np.lexsort((words, -scores))[:WITNESSES]
+    return words[order[scores[order] >= scores[order[0]] - within]]
 
 
-def train(sentences: list[tuple[int, list[list[str]]]], landmarks: int = LANDMARKS) -> Model:
-    """From (label, sentences of words) of each labelled document."""
-    labels = np.array([y for y, _ in sentences])
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, and where each begins."""
+    return np.array([x for xs in lists for x in xs], np.int64), np.cumsum([0, *map(len, lists)])
+
+
+def train(documents: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS) -> Model:
+    """From (label, distinct parts of words) of each labelled document."""
+    labels = np.array([y for y, _ in documents], np.int64)
     size = _BASE**3
-    if labels.sum() == 0 or labels.sum() == len(labels):
+    if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(size), -1.0, 1.0, -40.0)
-    docs = [sorted({x for s in ss for w in s for x in _windows(_letters(w)) if len(x) > 4}) for _, ss in sentences]
+    vocabulary = sorted({w for _, ws in documents for w in ws})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    docs = [np.array(sorted(number[w] for w in ws), np.int64) for _, ws in documents]
+    del number
+
     # First witnesses: the words whose four or five letters in a row are the most telling in their document.
-    toxic, clean, count = Counter(), Counter(), Counter()
-    grams = lambda w: {w[i : i + n] for n in (4, 5) for i in range(max(1, len(w) - n + 1))}
+    grams: dict[bytes, int] = {}
+    of_word, starts = _flat([sorted({grams.setdefault(w[i : i + n], len(grams)) for n in (4, 5) for i in range(max(1, len(w) - n + 1))}) for w in vocabulary])
+    held, count = np.zeros((2, len(grams))), np.zeros((2, len(vocabulary)), np.int64)
     for y, ws in zip(labels, docs, strict=True):
-        (toxic if y else clean).update({g for w in ws for g in grams(w)})
-        if not y:
-            count.update(ws)
+        if len(ws):
+            held[y, np.unique(np.concatenate([of_word[starts[w] : starts[w + 1]] for w in ws]))] += 1
+            count[y, ws] += 1
     n1, n0 = labels.sum(), (1 - labels).sum()
-    tells = lambda w: max(math.log((toxic[g] + 0.1) / n1) - math.log((clean[g] + 0.1) / n0) for g in grams(w))
-    witnesses = [_top(ws, [tells(w) for w in ws], 0.7) if y else [] for y, ws in zip(labels, docs, strict=True)]
-    negatives = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
-    negatives = negatives[:8_000] + negatives[8_000 :: max(1, len(negatives) // 12_000)]
-    chosen = [w for w, _ in Counter(w for ws in witnesses for w in ws).most_common(landmarks // 2)]
-    chosen += [w for w in negatives if len(w) > 3][: landmarks - len(chosen)]
-    codes, weights = features(chosen)
+    # A word of clean documents is no witness, but for what labels may have wrong.
+    may = (count[1] + 0.5) / n1 >= TELLING * (count[0] + 0.5) / n0
+    suspects = {i: docs[i][may[docs[i]]] for i in np.flatnonzero(labels)}
+    suspects = {i: ws for i, ws in suspects.items() if len(ws)}
+    tells = np.log((held[1] + 0.1) / n1) - np.log((held[0] + 0.1) / n0)
+    tells = np.maximum.reduceat(tells[of_word], starts[:-1]) if len(vocabulary) else tells
+    witnesses = {i: _top(ws, tells[ws], 0.7) for i, ws in suspects.items()}
+    common = np.lexsort((np.arange(len(vocabulary)), -count[0]))[: int((count[0] > 0).sum())]
+    half = 2 * MOST_NEGATIVES // 5
+    negatives = np.concatenate([common[:half], common[half :: max(1, -(-(len(common) - half) // (MOST_NEGATIVES - half)))]])
+    positive = Counter(w for ws in witnesses.values() for w in ws.tolist())
+    chosen = sorted(positive, key=lambda w: (-positive[w], w))[: landmarks // 2]
+    chosen += [w for w in negatives.tolist() if len(vocabulary[w]) > 3][: landmarks - len(chosen)]
+    codes, weights = features([vocabulary[w] for w in chosen])
     used = np.unique(codes[weights > 0])
     place = np.full(size, len(used))
     place[used] = np.arange(len(used))
@@ -244,12 +281,12 @@ def train(sentences: list[tuple[int, list[list[str]]]], landmarks: int = LANDMAR
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
 
-    def mapped(words: list[bytes]) -> np.ndarray:
-        out = np.empty((len(words), root.shape[1]))
-        order = np.argsort([len(w) for w in words], kind="stable")
+    def mapped(words: np.ndarray) -> np.ndarray:
+        out = np.empty((len(words), root.shape[1]), np.float32)
+        order = np.argsort([len(vocabulary[w]) for w in words], kind="stable")
         for at in range(0, len(words), 512):
             here = order[at : at + 512]
-            c, w = features([words[i] for i in here])
+            c, w = features([vocabulary[words[i]] for i in here])
             dense = np.zeros((len(here), len(space)), np.float32)
             np.add.at(dense, (np.arange(len(here))[:, None], place[c]), w)
             dense[:, -1] = 0
@@ -257,47 +294,66 @@ def train(sentences: list[tuple[int, list[list[str]]]], landmarks: int = LANDMAR
         return out
 
     negative = mapped(negatives)
-    model = None
     for _ in range(ROUNDS):
-        positive = Counter(w for ws in witnesses for w in ws)
-        words = list(positive)
+        positive = Counter(w for ws in witnesses.values() for w in ws.tolist())
+        words = np.array(sorted(positive), np.int64)
         x = np.concatenate([mapped(words), negative])
         y = np.concatenate([np.ones(len(words)), -np.ones(len(negative))])
         # A word of one document may be there by chance.
-        cost = np.concatenate([[4.0 * positive[w] - 3.5 for w in words], np.full(len(negative), 10.0)])
+        cost = np.concatenate([[4.0 * positive[w] - 3.5 for w in words.tolist()], np.full(len(negative), 10.0)])
         w, bias = _machine(x, y, cost)
         flat = np.zeros(size)
-        flat[used] = (space[:-1] @ (root @ w))
-        model = Model(flat, bias, 1.0, 0.0)
-        highest = np.full(len(docs), float(bias))
-        for i, ws in enumerate(docs):
-            if ws:
-                s = model.letters_scores(ws)
-                highest[i] = s.max()
-                if labels[i]:
-                    witnesses[i] = _top(ws, s.tolist(), 0.4)
+        flat[used] = space[:-1] @ (root @ w)
+        scores = Model(flat, bias, 1.0, 0.0).letters_scores(vocabulary)
+        highest = np.array([scores[ws].max() if len(ws) else bias for ws in docs])
+        witnesses = {i: _top(ws, scores[ws], 0.4) for i, ws in suspects.items()}
+        # Clean words that the machine takes for toxic ones, and has not been told of.
+        hard = np.setdiff1d(common, negatives)
+        hard = hard[np.argsort(-scores[hard], kind="stable")[:HARD_NEGATIVES]]
+        negatives, negative = np.concatenate([negatives, hard]), np.concatenate([negative, mapped(hard)])
     slope, shift = _logistic(highest, labels.astype(float))
     return Model(flat, bias, max(slope, 1e-3), shift)
 
 
+def parts_of(text: str) -> list[bytes]:
+    """The distinct parts of the words in a text's sentences, those of three letters or more."""
+    words = {w for sentence in _SENTENCE.split(text) for w in words_of(sentence)}
+    return sorted({x for w in words for x in _windows(_letters(w)) if len(x) > 4})
+
+
+def _first_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of a partition, that of the smallest hash; there are as many keys as the sample has at most."""
+    best: dict = {}
+    names, kind = ["key", "label", "hash", "parts"], None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for i, (key, label, h) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+            if key not in best or h < best[key][1]:
+                best[key] = label, h, parts_of(b.column(3)[i].as_py())
+    for key, (label, h, parts) in best.items():
+        yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([label], pa.int32()), pa.array([h], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=names)
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(label, parts) for b in batches for label, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    m = train(sorted(rows))
+    yield pa.RecordBatch.from_pydict({"weights": pa.array([m.weights.tobytes()], pa.binary()), "bias": [m.bias], "slope": [float(m.slope)], "shift": [float(m.shift)]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """From the texts of at most MOST_TOXIC and MOST_CLEAN rows of ``labels``, which come to the driver one by one."""
-    order = F.xxhash64(F.lit(7), F.col(key))
-    known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(label_col).alias(label_col))
-    parts = [known.where(F.col(label_col) == y).orderBy(order, key).limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
+    """From the texts of at most MOST_TOXIC and MOST_CLEAN rows of ``labels``, in one pass over ``docs``."""
+    ship(docs.sparkSession)
+    order = F.xxhash64(F.lit(7), F.col("key"))
+    known = labels.select(F.col(key).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.max("label").alias("label"))
+    parts = [known.where(F.col("label") == y).orderBy(order, "key").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = parts[0].unionByName(parts[1])  # bounded, so it is safe to broadcast
-    rows = docs.where(F.col(text_col).isNotNull()).select(key, text_col).join(F.broadcast(chosen), key)
-    found = []
-    for r in rows.toLocalIterator():
-        seen: set[str] = set()
-        cut = []
-        for s in _SENTENCE.split(r[text_col]):
-            new = [w for w in words_of(s) if w not in seen]
-            seen.update(new)
-            if new:
-                cut.append(new)
-        found.append((r[key], int(r[label_col]), cut))
-    return train([(y, cut) for _, y, cut in sorted(found, key=lambda x: (x[0], x[1]))])
+    texts = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "key").select("key", "label", F.xxhash64("text").alias("hash"), "text")
+    kind = rows.schema["key"].dataType.simpleString()
+    cut = rows.mapInArrow(_first_of_key, f"key {kind}, label int, hash bigint, parts array<binary>")
+    one = cut.groupBy("key").agg(F.min(F.struct("hash", "label", "parts")).alias("x")).select("x.label", "x.parts")
+    got = one.repartition(1).mapInArrow(_trained, "weights binary, bias double, slope double, shift double").first()
+    return train([]) if got is None else Model(np.frombuffer(got["weights"], np.float32), got["bias"], got["slope"], got["shift"])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -229,6 +229,11 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, model).count() == 0
     empty = toxicity.train([])
     assert toxicity.Scorer(empty).highest(["idiot"])[0] < 0
+    odd = docs.drop("toxic").unionByName(spark.createDataFrame([(0, None), (None, "an idiot"), (1, ""), (4, "zzz")], "doc_id bigint, text string")).withColumns({"score": toxicity.F.lit(1), "key": toxicity.F.lit("k")})
+    again = toxicity.fit(odd.unionByName(odd.where("doc_id % 7 = 0")), docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id bigint, toxic int")))
+    scores = toxicity.score(odd, again, keep=("doc_id", "key")).collect()
+    assert len(scores) == odd.count() and all(0 <= r["score"] <= 1 for r in scores)
+    assert toxicity.Scorer(toxicity.fit(none, docs.select("doc_id", "toxic"))).highest(["idiot"])[0] < 0
 
 
 def plain_groups(texts):
