@@ -6,12 +6,13 @@ crosses such a cut and the count of a text is the sum over its pre-tokens.
 
 Tier one is a broadcast table of the most frequent pre-tokens and their
 lengths, at most ``frequent`` entries whatever the corpus. Tier two is a cache
-in each Python worker, emptied when it is full. Pre-tokens never enter a
-shuffle: the frequent ones come from bounded summaries, one per partition.
+in each Python worker, which lasts from task to task and is emptied when it is
+full. Texts' pre-tokens never enter a shuffle: the frequent ones come from
+bounded summaries, one per partition, which a tree of tasks merges.
 
 Nulls count as the empty text (0 bytes, 0 tokens). Repeated rows are counted
 each. An empty table gives an empty result. Other columns are ignored unless
-named in ``keep``.
+named in ``keep``; there a column named like an added one is refused.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from spandrel.runtime import ship
 #: Longer pre-tokens are counted but not kept in a cache or summary.
 KEPT_CHARS = 48
 CACHE_ENTRIES = 400_000
-#: Entries that a summary of one partition, and of one group of them, may have.
+#: Entries that a summary of one partition, or of a group of summaries, may have.
 SUMMARY_ENTRIES = 20_000
-SUMMARY_GROUPS = 16
+#: Summaries that one task merges.
+SUMMARY_FAN = 32
 
 _RUNS = re.compile(" +[^ ]*")
 _workers: dict = {}
@@ -49,10 +51,14 @@ class PieceCounter(dict):
         # A piece such as "a▁" would let a merge cross a cut.
         self.separable = not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(size))
         self.fixed: dict[str, int] = {}
+        self.table: bytes | None = None
 
-    def start(self, fixed: dict[str, int]) -> None:
-        self.fixed = fixed
-        self.reset()
+    def start(self, table: bytes) -> None:
+        """Take the broadcast table; what was learnt with the same one stays."""
+        if self.table != table:
+            t = pa.ipc.open_stream(table).read_all()
+            self.table, self.fixed = table, dict(zip(t.column("key").to_pylist(), t.column("n").to_pylist(), strict=True))
+            self.reset()
 
     def reset(self) -> None:
         self.clear()
@@ -132,21 +138,25 @@ def _row(counts: dict[str, int]) -> pa.RecordBatch:
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", most: int = 65_536) -> list[str]:
     """The ``most`` frequent pre-tokens of all documents, by bounded summaries.
 
-    Each partition sends one summary; SUMMARY_GROUPS tasks merge them, so the
-    driver gets SUMMARY_GROUPS rows of at most SUMMARY_ENTRIES keys each.
+    Each partition sends one summary; a task merges SUMMARY_FAN of them, and so
+    on, until few enough are left for the driver, of SUMMARY_ENTRIES keys each.
     """
     ship(docs.sparkSession)
     kind = "keys array<string>, counts array<bigint>"
-    rows = docs.select(text_col).mapInArrow(_summaries(text_col), kind).repartition(SUMMARY_GROUPS).mapInArrow(_merged, kind).collect()
+    texts = docs.select(text_col)
+    groups, rows = texts.rdd.getNumPartitions(), texts.mapInArrow(_summaries(text_col), kind)
+    while groups > 2:
+        groups = -(-groups // SUMMARY_FAN)
+        rows = rows.repartition(groups).mapInArrow(_merged, kind)
     counts: dict[str, int] = {}
-    for r in rows:
+    for r in rows.collect():  # two at most
         for k, n in zip(r["keys"], r["counts"], strict=True):
             counts[k] = counts.get(k, 0) + n
     return list(_cut(counts, most))
 
 
 def compact_table(model_path: str, keys: list[str]) -> bytes:
-    """The broadcast form: an Arrow table of pre-tokens and 16-bit lengths."""
+    """The broadcast form: an Arrow table of pre-tokens and 32-bit lengths."""
     counter = PieceCounter(model_path)
     lengths = [counter[k] for k in keys]
     t = pa.table({"key": pa.array(keys, pa.string()), "n": pa.array(lengths, pa.int32())})
@@ -160,12 +170,13 @@ def count_tokens(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc
     """``keep`` columns, n_bytes (UTF-8) and n_tokens of every whole text."""
     spark = docs.sparkSession
     ship(spark)
+    if clash := {"n_bytes", "n_tokens"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are added and can't be kept")
     shared = spark.sparkContext.broadcast(compact_table(model_path, frequent_pretokens(docs, text_col, frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_path)
-        t = pa.ipc.open_stream(shared.value).read_all()
-        counter.start(dict(zip(t.column("key").to_pylist(), t.column("n").to_pylist(), strict=True)))
+        counter.start(shared.value)
         for b in batches:
             texts = b.column("__text")
             counts = []
