@@ -27,8 +27,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = sharding.shard(table(spark, sf_dir, "documents"), 40)
-    return sharded.select(
+    dealt, path = sharding.shard(table(spark, sf_dir, "documents"), 40), new_path(spark, "shards")
+    sharding.write_shards(dealt, path)
+    return sharding.read_shards(spark, path, dealt).select(
         "doc_id",
         sharding.record_size("text").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),

@@ -48,6 +48,11 @@ def test_token_counts(docs, none, texts):
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, PIECE, frequent=16).collect()}
     assert got == {i: (len((t or "").encode()), len(model.encode(t or ""))) for i, t in enumerate(texts)}
     assert token_counts.count_tokens(none, PIECE).count() == 0
+    twice = docs.unionByName(docs).repartition(9).withColumnRenamed("size", "n_tokens")
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(twice, PIECE, frequent=3).collect())
+    assert got == Counter({(i, len(model.encode(t or ""))): 2 for i, t in enumerate(texts)})
+    with pytest.raises(ValueError, match="n_tokens"):
+        token_counts.count_tokens(twice, PIECE, keep=("doc_id", "n_tokens"))
 
 
 @settings(max_examples=150, deadline=None)
@@ -89,20 +94,47 @@ def test_packing(docs, none, texts):
     assert packing.pack(none, BYTE, 2).count() == 0
 
 
-def test_sharding(docs, none, texts):
+def check_shards(rows, want, shards):
+    """Whole rows, counts at most one apart, slots without gaps."""
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(want)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    sizes = [len(slots[s]) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1 and set(slots) <= set(range(shards)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_sharding(spark, docs, none, texts):
     both = docs.unionByName(docs.where("doc_id = 0"))
+    want = [*enumerate(texts), (0, texts[0])]
     for shards in (1, 7, 40):
         got = sharding.shard(both, shards, bucket_bytes=4000).collect()
-        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([*enumerate(texts), (0, texts[0])])
-        slots = defaultdict(list)
-        for r in got:
-            slots[r["shard"]].append(r["slot"])
-        sizes = [len(slots[s]) for s in range(shards)]
-        assert max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+        check_shards(got, want, shards)
     again = sharding.shard(both.repartition(5), 40, bucket_bytes=4000).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) or len(got) == len(again)
     assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] != sorted(r["doc_id"] for r in got)
     assert sharding.shard(none, 40).count() == 0
+    odd = both.withColumns({"shard": sharding.F.lit(1), "law": sharding.F.lit("x")})
+    dealt, path = sharding.shard(odd, 40, bucket_bytes=4000), new_path(spark, "shards")
+    sharding.write_shards(dealt, path)
+    read = sharding.read_shards(spark, path, dealt)
+    assert read.columns == dealt.columns and {r["law"] for r in read.collect()} == {"rows"}
+    check_shards(read.collect(), want, 40)
+
+
+def test_sharding_of_equal_rows(spark):
+    """Rows equal in key and text fill a bucket, which is scattered again."""
+    rows = [(5, "copy " * 40)] * 300 + [(i, f"text {i}") for i in range(100, 150)] + [(None, None)] * 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    dealt = sharding.shard(df, 7, bucket_bytes=4000)
+    check_shards(dealt.collect(), rows, 7)
+    name = "spark.sql.adaptive.enabled"
+    spark.conf.set(name, "false")  # it would put small partitions together
+    try:
+        parts = dealt.select(sharding.F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset(name)
+    assert max(r["count"] for r in parts) < 150
 
 
 @settings(max_examples=200, deadline=None)
