@@ -1,27 +1,34 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words of the benchmark get document frequencies over all documents.
-2. A randomised SVD of the benchmark's TF-IDF passages, distributed over its
-   rows, gives a latent space: partial products come from the partitions and
-   only a (words of the block) x (rank) matrix reaches the driver.
+2. Items go to spaces of at most RANK items. A randomised SVD of a space's
+   TF-IDF passages, distributed over its rows, gives the latent space: partial
+   products come from the partitions and only a (words of the space) x (rank)
+   matrix reaches the driver. As the rank is not below the number of items, no
+   item loses a part of its direction, however large the benchmark is.
 3. Every document is cut into overlapping windows, as long as the items of a
    size class ask for. A window is left out only if step 4 would refuse every
    item there: by counts of the item's words and answer words, which no other
    word and no number of documents changes. The rest are projected and meet
    the items by cosine.
 4. A candidate counts if the longest common subsequence of words covers
-   ``least_common`` of the item in a stretch of the document about as long as
-   the item, and the answer is there: the words of column ``answer`` where
+   ``least_common`` of the item in a stretch of the document 1.3 times as long
+   as the item, and the answer is there: the words of column ``answer`` where
    the benchmark has one, else the item's rarest quarter of words (of those
    that the documents have at all), of which ``least_answer`` must be in that
-   stretch. Paraphrases keep both.
+   stretch. All stretches about the window are tried, the best one counts.
+   Paraphrases keep both.
 
 The benchmark is a stated query set: it goes over all rows in blocks of at most
-BLOCK_ITEMS items and BLOCK_BYTES bytes, which bounds every broadcast.
-
-Null or empty texts and items match nothing. Items with fewer than LEAST_WORDS
-words are too short to tell and are left out. Repeated rows are reported each.
-Empty tables give an empty result. Other columns are ignored.
+BLOCK_ITEMS items and BLOCK_BYTES bytes, which bounds every broadcast; a block
+takes two passes over the documents.
+
+Items with fewer than LEAST_WORDS words are too short for a part of them to
+tell: they match where all their words stand next to each other in order (then
+cosine and common are 1). Null or empty texts and items match nothing, nor do
+items without a letter or digit. Repeated rows are reported each, as are
+repeated items. Empty tables give an empty result. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 
 from spandrel.runtime import ship
 
-BLOCK_ITEMS, BLOCK_BYTES = 5_000, 8 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 2_048, 4 << 20
 LEAST_WORDS = 5
 RANK, POWER_ROUNDS = 256, 2
 LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.5, 0.6, 0.3
@@ -100,14 +107,14 @@ def _tfidf(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, weights / norm if norm > 0 else weights
 
 
-def latent_space(passages: DataFrame, n_words: int, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_space(passages: DataFrame, n_words: int, idf: np.ndarray, rank: int | None = None) -> np.ndarray:
     """An orthonormal basis (words x rank) of the main directions of the passages.
 
     ``passages`` has one column, the list of word numbers. Subspace iteration
     of A'A, where each partition adds up its rows' part.
     """
     spark = passages.sparkSession
-    q = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((n_words, min(rank, n_words))))[0]
+    q = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((n_words, min(rank or RANK, n_words))))[0]
     for _ in range(POWER_ROUNDS):
         shared = spark.sparkContext.broadcast((q.astype(np.float32), idf))
 
@@ -155,42 +162,58 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - s.bit_count()
 
 
+class Space:
+    """A latent space, the items in it, and which words of the block it has."""
+
+    def __init__(self, items: list[int], words: np.ndarray, idf: np.ndarray, basis: np.ndarray, of_item: list[np.ndarray]):
+        self.items, self.words, self.idf, self.basis = np.array(items), words, idf[words].astype(np.float32), basis
+        latent = np.stack([self.project(of_item[i]) for i in items])
+        norm = np.linalg.norm(latent, axis=1, keepdims=True)
+        self.latent = latent / np.where(norm > 0, norm, 1)
+
+    def project(self, ids: np.ndarray) -> np.ndarray:
+        """The TF-IDF vector of a passage in this space; words that it doesn't have are no part of it."""
+        at = np.searchsorted(self.words, ids)
+        at[at == len(self.words)] = 0
+        own = at[self.words[at] == ids]
+        w, x = _tfidf(own, self.idf) if len(own) else (own, self.idf[:0])
+        return (x @ self.basis[w]).astype(np.float32)
+
+
 class Matcher:
     """Items of a block, ready to be met by documents."""
 
-    def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, basis: np.ndarray, least: tuple[float, float, float], seen: np.ndarray):
-        self.vocabulary, self.idf, self.basis, self.least = vocabulary, idf.astype(np.float32), basis, least
+    def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, bases: list[tuple[list[int], np.ndarray, np.ndarray]], least: tuple[float, float, float], seen: np.ndarray):
+        self.vocabulary, self.least = vocabulary, least
         self.keys = [k for k, _, _ in items]
         self.words = [np.array([vocabulary[w] for w in ws], np.int64) for _, ws, _ in items]
-        latent = np.zeros((len(items), basis.shape[1]), np.float32)
+        self.spaces = [Space(own, words, idf, basis, self.words) for own, words, basis in bases]
+        self.short = [i for i, w in enumerate(self.words) if len(w) < LEAST_WORDS]
         self.answers = []
-        for i, (_, _, answer) in enumerate(items):
-            w, x = _tfidf(self.words[i], idf)
-            latent[i] = x @ basis[w]
+        for w, (_, _, answer) in zip(self.words, items, strict=True):
             kept = [vocabulary[a] for a in answer]
             if not kept:
                 there = w[seen[w]] if seen[w].any() else w
                 rare = there[np.argsort(-idf[there], kind="stable")]
                 kept = rare[: max(1, math.ceil(len(w) / 4))].tolist()
             self.answers.append(set(kept))
-        norm = np.linalg.norm(latent, axis=1, keepdims=True)
-        self.latent = latent / np.where(norm > 0, norm, 1)
         # Answer word -> items, as one list with bounds; how many of them, and of its words in a stretch, an item needs.
         by_word: list[list[int]] = [[] for _ in vocabulary]
         for i, answer in enumerate(self.answers):
-            for w in answer:
+            for w in answer if len(self.words[i]) >= LEAST_WORDS else set(self.words[i][:1].tolist()):
                 by_word[w].append(i)
         self.posted = np.array([i for ix in by_word for i in ix], np.int64)
         self.bounds = np.cumsum([0, *map(len, by_word)])
         # Other words have number -1, which is the last place and false.
         self.telling = np.array([*map(bool, by_word), False])
-        self.least_answers = np.array([_least_count(least[2], len(a)) for a in self.answers])
+        self.least_answers = np.array([_least_count(least[2], len(a)) if len(w) >= LEAST_WORDS else 1 for a, w in zip(self.answers, self.words, strict=True)])
         self.least_words = [_least_count(least[1], len(w)) for w in self.words]
         # Windows by size class: each item meets windows of about 1.5 times its length.
-        sizes: dict[int, list[int]] = {}
-        for i, w in enumerate(self.words):
-            sizes.setdefault(1 << max(3, (len(w) - 1).bit_length()), []).append(i)
-        self.classes = {int(c * 1.25): np.array(ix) for c, ix in sizes.items()}
+        groups: dict[tuple[int, int], list[int]] = {}
+        for s, space in enumerate(self.spaces):
+            for j, i in enumerate(space.items.tolist()):
+                groups.setdefault((s, 1 << max(3, (len(self.words[i]) - 1).bit_length())), []).append(j)
+        self.groups = [(self.spaces[s], int(c * 1.25), np.array(js)) for (s, c), js in groups.items()]
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item, cosine, share of the item in order, first word) of each item that is in a document."""
@@ -198,34 +221,49 @@ class Matcher:
         counts = np.zeros(len(self.keys), np.int64)
         for w in told.tolist():
             counts[self.posted[self.bounds[w] : self.bounds[w + 1]]] += 1
-        places = {i: p for i in np.flatnonzero(counts >= self.least_answers).tolist() if (p := self._places(i, ids)) is not None}
-        if not places:
-            return []
+        there = np.flatnonzero(counts >= self.least_answers).tolist()
         best: dict[int, tuple[float, float, int]] = {}
-        for width, items in self.classes.items():
-            items = [i for i in items.tolist() if i in places]
-            if not items:
+        for i in there:
+            if len(self.words[i]) < LEAST_WORDS and (at := self._whole(i, ids)) is not None:
+                best[i] = 1.0, 1.0, at
+        places = {i: p for i in there if len(self.words[i]) >= LEAST_WORDS and (p := self._places(i, ids)) is not None}
+        for space, width, members in self.groups if places else ():
+            members = [j for j in members.tolist() if int(space.items[j]) in places]
+            if not members:
                 continue
             starts = np.arange(0, max(1, len(ids) - width + max(1, width // 4)), max(1, width // 4))
             ends = np.minimum(starts + width, len(ids))
             # Which windows have a place of an item in the part of the document that _verify looks at.
-            near = np.zeros((len(items), len(starts)), bool)
-            for row, i in zip(near, items, strict=True):
+            near = np.zeros((len(members), len(starts)), bool)
+            for row, j in zip(near, members, strict=True):
+                i = int(space.items[j])
                 n = len(self.words[i])
                 row[:] = np.searchsorted(places[i], ends + n) > np.searchsorted(places[i], starts - n)
-            for at in np.flatnonzero(near.any(axis=0)):
+            cosines = np.zeros(near.shape, np.float32)
+            for at in np.flatnonzero(near.any(axis=0)).tolist():
                 window = ids[starts[at] : ends[at]]
-                w, x = _tfidf(window[window >= 0].astype(np.int64), self.idf)
-                v = x @ self.basis[w]
+                v = space.project(window[window >= 0].astype(np.int64))
                 norm = np.linalg.norm(v)
-                if not norm > 0:
-                    continue
-                kept = [i for i, there in zip(items, near[:, at].tolist(), strict=True) if there]
-                cosines = self.latent[kept] @ (v / norm)
-                for j in np.flatnonzero(cosines >= self.least[0]):
-                    self._verify(kept[j], float(cosines[j]), ids, int(starts[at]), int(ends[at]), best)
+                if norm > 0:
+                    cosines[:, at] = space.latent[members] @ (v / norm)
+            for row, j, cosine in zip(near, members, cosines, strict=True):
+                i = int(space.items[j])
+                n, tried = len(self.words[i]), -1
+                for at in np.flatnonzero(row & (cosine >= self.least[0])).tolist():
+                    first, last = np.searchsorted(places[i], [max(tried + 1, starts[at] - n), ends[at] + n])
+                    self._verify(i, float(cosine[at]), ids, places[i][first:last], best)
+                    tried = int(ends[at] + n - 1)
         return [(i, *x) for i, x in sorted(best.items())]
 
+    def _whole(self, item: int, ids: np.ndarray) -> int | None:
+        """Where a short item's words first stand in a row."""
+        words = self.words[item]
+        n = len(words)
+        if not n or len(ids) < n:
+            return None
+        found = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == w for k, w in enumerate(words)]))
+        return int(found[0]) if len(found) else None
+
     def _places(self, item: int, ids: np.ndarray) -> np.ndarray | None:
         """Where stretches with enough of an item's words begin; a common subsequence is no longer than their count."""
         words = self.words[item]
@@ -236,25 +274,29 @@ class Matcher:
         places = np.flatnonzero(counts[ends] - counts[:-1] >= self.least_words[item])
         return places if len(places) else None
 
-    def _verify(self, item: int, cosine: float, ids: np.ndarray, start: int, end: int, best: dict) -> None:
-        words = self.words[item]
-        n = len(words)
-        if item in best and best[item][1] >= 1.0:
-            return
-        region = ids[max(0, start - n) : end + n]
-        wanted = np.isin(region, words)
-        if wanted.sum() < self.least[1] * n * 0.5:
-            return
-        # The stretch of 1.3 times the item's length with most of its words.
-        span = min(len(region), math.ceil(1.3 * n))
-        counts = np.concatenate([[0], np.cumsum(wanted)])
-        first = int(np.argmax(counts[span:] - counts[: len(region) - span + 1]))
-        stretch = region[first : first + span].tolist()
-        share = common_subsequence(words.tolist(), stretch) / n
-        there = set(stretch)
-        answer = sum(a in there for a in self.answers[item]) / len(self.answers[item])
-        if share >= self.least[1] and answer >= self.least[2] and (item not in best or share > best[item][1]):
-            best[item] = (cosine, share, max(0, start - n) + first)
+    def _verify(self, item: int, cosine: float, ids: np.ndarray, places: np.ndarray, best: dict) -> None:
+        """The best stretch that begins at one of ``places``.
+
+        From a stretch to the next one word goes and one comes, so the common
+        subsequence grows by one at most, as does the count of answer words;
+        so many places as are missing are passed over.
+        """
+        words, answers = self.words[item].tolist(), self.answers[item]
+        n, span, k = len(words), math.ceil(1.3 * len(words)), 0
+        while k < len(places):
+            at = int(places[k])
+            stretch = ids[at : at + span].tolist()
+            wanted = max(self.least_words[item], round(best[item][1] * n) + 1 if item in best else 0)
+            if wanted > n:
+                return
+            missing = wanted - common_subsequence(words, stretch)
+            if missing <= 0:
+                have = len(answers.intersection(stretch))
+                missing = int(self.least_answers[item]) - have
+                if missing <= 0:
+                    best[item] = (cosine, common_subsequence(words, stretch) / n, at)
+                    continue
+            k = max(k + 1, int(np.searchsorted(places, at + missing)))
 
 
 def _blocks(benchmark: DataFrame, key: str, text_col: str) -> Iterator[list]:
@@ -285,7 +327,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | tuple[str, ..
     texts = docs.select(docs[text_col].alias("__text"))
     for block in _blocks(benchmark, item_key, "text"):
         items = [(r[item_key], normal_words(r["text"]), normal_words(r["answer"]) if "answer" in r else []) for r in block]
-        items = [x for x in items if len(x[1]) >= LEAST_WORDS]
+        items = [x for x in items if x[1]]
         if not items:
             continue
         vocabulary: dict[str, int] = {}
@@ -299,9 +341,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | tuple[str, ..
         n = max(1, counts.pop(-1, 1))
         idf = np.array([math.log((n + 1) / (counts[i] + 0.5)) for i in range(len(vocabulary))])
         idf = np.maximum(idf, 1e-3)
-        passages = spark.createDataFrame([([vocabulary[w] for w in ws],) for _, ws, _ in items], "ids array<int>").repartition(8)
-        basis = latent_space(passages, len(vocabulary), idf)
-        matcher = spark.sparkContext.broadcast(Matcher(items, vocabulary, idf, basis, (least_cosine, least_common, least_answer), np.array([counts[i] > 0 for i in range(len(vocabulary))])))
+        long = [i for i, x in enumerate(items) if len(x[1]) >= LEAST_WORDS]
+        bases = []
+        for own in (long[k : k + RANK] for k in range(0, len(long), RANK)):
+            ids = [np.array([vocabulary[w] for w in items[i][1]]) for i in own]
+            words = np.unique(np.concatenate(ids))
+            passages = spark.createDataFrame([(np.searchsorted(words, x).tolist(),) for x in ids], "ids array<int>").repartition(8)
+            bases.append((own, words, latent_space(passages, len(words), idf[words])))
+        matcher = spark.sparkContext.broadcast(Matcher(items, vocabulary, idf, bases, (least_cosine, least_common, least_answer), np.array([counts[i] > 0 for i in range(len(vocabulary))])))
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.value

@@ -423,6 +423,56 @@ def test_decontamination_of_common_words(spark):
     assert {k for k, common in got.items() if common == 1.0} == want
 
 
+def plain_matches(text, items, df, n_docs):
+    """Every stretch of a document against every item: the words in order, and the answer words."""
+    ids = decontamination.normal_words(text)
+    for key, item in items:
+        words = decontamination.normal_words(item)
+        there = [w for w in words if df[w]] or words
+        rare = sorted(there, key=lambda w: -max(1e-3, np.log((n_docs + 1) / (df[w] + 0.5))))  # stable
+        answer = set(rare[: max(1, -(-len(words) // 4))])
+        span, best = int(np.ceil(1.3 * len(words))), 0
+        for at in range(len(ids)):
+            stretch = ids[at : at + span]
+            if len(answer & set(stretch)) / len(answer) >= 0.3 and (common := decontamination.common_subsequence(words, stretch) / len(words)) >= 0.6:
+                best = max(best, common)
+        if best:
+            yield key, best
+
+
+def test_decontamination_recall(spark, monkeypatch):
+    """A benchmark of many spaces and blocks against every stretch of every document."""
+    monkeypatch.setattr(decontamination, "RANK", 16)
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 50)
+    rng = random.Random(31)
+    common = [f"b{k}" for k in range(300)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(3000)}" for _ in range(rng.randrange(8, 40)))) for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = [rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(3000)}" for _ in range(rng.randrange(10, 120))]
+        for _ in range(rng.randrange(3)):
+            held = [w if rng.random() < rng.choice([1, 0.85, 0.7]) else f"z{rng.randrange(99)}" for w in items[rng.randrange(120)][1].split()]
+            at = rng.randrange(len(words))
+            words = words[:at] + held + words[at:]
+        rows.append((i, " ".join(words)))
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    # Document frequencies and answer words do not depend on the block.
+    want = {(i, key): best for i, t in rows for key, best in plain_matches(t, items, df, len(rows))}
+    found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["common"] for r in found.collect()}
+    assert set(got) <= set(want) and len(want) > 60 and len(got) >= 0.9 * len(want)
+    assert sum(abs(got[k] - want[k]) < 1e-9 for k in got) >= 0.9 * len(got) and {k for k, x in want.items() if x == 1} <= set(got)
+
+
+def test_decontamination_of_short_items_and_odd_rows(spark):
+    """Items of fewer words match whole and in a row; null and repeated keys and clashing columns."""
+    benchmark = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma"), (3, "beta, alpha beta!"), (4, "..."), (1, "alpha beta"), (None, "delta epsilon")], "item_id bigint, text string")
+    rows = [(1, "x ALPHA, beta y"), (1, "x ALPHA, beta y"), (None, "gamma delta . epsilon"), (2, "alpha x beta"), (3, "beta alpha beta"), (4, None)]
+    df = spark.createDataFrame([(i, t, 0.5, 7) for i, t in rows], "doc_id bigint, text string, cosine double, item_id bigint").repartition(2)
+    got = Counter((r["doc_id"], r["item_id"], r["common"]) for r in decontamination.contaminated(df, benchmark).collect())
+    assert got == Counter({(1, 1, 1.0): 4, (None, 2, 1.0): 1, (None, None, 1.0): 1, (3, 3, 1.0): 1, (3, 1, 1.0): 2})
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
 def test_common_subsequence(a, b):
