@@ -22,10 +22,10 @@ A list is never expanded into all its pairs.
    the key earliest: it has the fewest shingles of its own, as the original of
    a group of near copies has. What links is one component, so such a group is
    done with one try a member.
-2. In lists that still meet several components, a node stays only if the list
-   has a node small enough that the place of the key leaves room for a link
-   (_most_size). Then the nodes outside of the list's largest component meet
-   all others: within a component nothing can be added to it. Size and place
+2. A node stays in a list only if the list has a node small enough that the
+   place of the key leaves room for a link (_most_size). In lists that then
+   meet several components, the nodes outside of the largest one meet all
+   others: within a component nothing can be added to it. Size and place
    are part of the join, so only pairs pass that may link by both. Long lists
    are dealt over several tasks by a salt.
 
@@ -51,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.runtime import discard, materialise, ship
@@ -254,13 +254,17 @@ def _set_rows(bitmap):
     return run
 
 
+def _bitmap(bits: DataFrame) -> DataFrame:
+    """(word, bits): the bits that are set, BITMAP_BITS / 64 rows at most."""
+    return bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+
+
 def _candidate_sets(docs: DataFrame, key: str, text_col: str, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, set) for the nodes of ``wanted``, from the texts, without moving texts."""
     spark = docs.sparkSession
     bit = F.pmod(F.col("row"), F.lit(BITMAP_BITS))
-    words = wanted.join(classes, "node").select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)  # at most that many rows come here
-    for r in words:
+    for r in _bitmap(wanted.join(classes, "node").select(bit.alias("bit"))).collect():
         bitmap[r["word"]] = r["bits"]
     shared = spark.sparkContext.broadcast(bitmap.astype("<i8").tobytes())
     rows = docs.select(docs[text_col].alias("text"), row_name(key, text_col).alias("row")).withColumn("bit", bit).select("text", "bit")
@@ -306,13 +310,31 @@ def _promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return both.where(F.col("light") | (F.size(F.array_intersect("la", "lb")) + after >= need)).select("a", "b")
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """The rows (k, node, m) of lists with several nodes: k, light, node, n, pos, the list's hub, and whether the row is open.
+
+    A row is open if its list has another one that leaves room for a link by
+    size and place. One exchange by key serves all of it.
+    """
+    met = rows.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
+    # Copies in several tasks make keys look shared that one node holds; they go here.
+    met = met.groupBy("k", "node").agg(F.min("m").alias("m"))
+    met = met.select("k", F.expr("m % 2 = 1").alias("light"), "node", F.expr("shiftright(m, 32)").alias("n"), F.expr("shiftright(m % 4294967296, 1)").alias("pos"))
+    of_list = Window.partitionBy("k", "light")
+    met = met.withColumns({"c": F.count("*").over(of_list), "hub": F.min(F.struct("pos", "node", "n")).over(of_list), "least": F.min("n").over(of_list)}).where("c > 1")
+    met = met.withColumn("room", _most_size(F.col("n"), F.col("pos")) >= F.col("least"))
+    met = met.withColumn("open", F.col("room") & (F.count_if("room").over(of_list) > 1))
+    return met.select("k", "light", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), "open")
+
+
 def _crossing(kept: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b, light), a > b, of nodes that a list holds, of two components, and that may link by size and place."""
-    labelled = kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = labelled.groupBy("k", "light", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
-    lists = parts.groupBy("k", "light").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.min("least").alias("least"), F.max(F.struct("c", "component"))["component"].alias("largest"))
-    lists = lists.where("parts > 1").select("k", "light", "least", "largest", F.expr(f"cast((c + {SALT_ROWS - 1}) div {SALT_ROWS} as int)").alias("salts"))
-    rows = labelled.join(lists, ["k", "light"]).where(_most_size(F.col("n"), F.col("pos")) >= F.col("least"))
+    labelled = kept.where("open").select("k", "light", "node", "n", "pos").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_list, of_part = Window.partitionBy("k", "light"), Window.partitionBy("k", "light", "component")
+    # One exchange by the list; the rows of a part stand together in it.
+    labelled = labelled.repartition("k", "light").withColumn("c", F.count("*").over(of_part))
+    whole = labelled.withColumns({"lo": F.min("component").over(of_list), "hi": F.max("component").over(of_list), "largest": F.max(F.struct("c", "component")).over(of_list), "all": F.count("*").over(of_list)})
+    rows = whole.where("lo <> hi").select("k", "light", "node", "n", "pos", "component", F.col("largest.component").alias("largest"), F.expr(f"cast((all + {SALT_ROWS - 1}) div {SALT_ROWS} as int)").alias("salts"))
     rows = materialise(rows, "labelled")
     # The salt deals one side over tasks; the other goes to each of them.
     outside = rows.where("component <> largest").withColumn("salt", F.expr("cast(pmod(node, salts) as int)"))
@@ -356,16 +378,12 @@ def jaccard_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", b
     light = keyed.where(f"n <= {boundary}").select("node", "n", F.posexplode("pairs").alias("pos", "k")).select("k", "node", F.expr(f"{packed} + 1").alias("m"))
     heavy = keyed.where(f"4 * n >= {3 * (boundary + 1)}").select("node", "n", F.posexplode("lists").alias("pos", "k")).select("k", "node", F.expr(packed).alias("m"))
     rows = heavy.unionByName(light) if boundary else heavy
-    shared = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    # Copies in several tasks make keys look shared that one node holds; they go with the next step.
-    met = rows.join(shared, "k").groupBy("k", "node").agg(F.min("m").alias("m"))
-    kept = materialise(met.select("k", F.expr("m % 2 = 1").alias("light"), "node", F.expr("shiftright(m, 32)").alias("n"), F.expr("shiftright(m % 4294967296, 1)").alias("pos")), "kept")
-    hubs = kept.groupBy("k", "light").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("k", "light", "hub")
+    kept = materialise(_listed(rows), "kept")
     # Only keys that are shared can be common: a prefix is what is left of it.
-    prefixes = materialise(kept.where("not light").join(hubs.select("k", "light"), ["k", "light"], "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.collect_list("k").alias("keys")), "prefixes")
+    prefixes = materialise(kept.where("not light").groupBy("node").agg(F.max("n").alias("n"), F.collect_list("k").alias("keys")), "prefixes")
 
-    starred = kept.join(hubs, ["k", "light"]).where(F.col("node") != F.col("hub.node")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    stars = _distinct(starred.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"), "light"))
+    starred = kept.where(F.col("node") != F.col("hub")).where(_may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
+    stars = _distinct(starred.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), "light"))
     tried = materialise(_promising(stars, prefixes), "tried")
     sets = _candidate_sets(docs, key, text_col, _nodes(tried), classes)
     links = materialise(_links(tried, sets), "links")
@@ -412,10 +430,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
     dropped = materialise(dropped.select(F.col("id").alias("__id"), F.col("row").alias("__name")), "dropped")
     again = materialise(first.where("first.c > 1").select(F.col("first.id").alias("__id"), F.col("first.row").alias("__name")), "again")
     discard(rows)
-    named = docs.withColumn("__row", row_name(key, text_col))
+    # Rows that are not in the bitmap of those that go stay where they are; the others are looked up.
+    named = docs.withColumn("__row", row_name(key, text_col)).withColumn("__bit", F.pmod(F.col("__row"), F.lit(BITMAP_BITS)))
+    words = _bitmap(dropped.unionByName(again).select(F.pmod(F.col("__name"), F.lit(BITMAP_BITS)).alias("bit"))).toDF("__word", "__bits")
+    marked = named.withColumn("__word", F.floor(F.col("__bit") / 64).cast("int")).join(F.broadcast(words), "__word", "left")
+    marked = marked.withColumn("__maybe", F.expr("coalesce(getbit(__bits, cast(__bit % 64 as int)) = 1, false)"))
     same = (F.col("__row") == F.col("__name")) & F.col(key).eqNullSafe(F.col("__id"))
-    kept = named.join(dropped, same, "left_anti")
+    kept = marked.where("__maybe").join(dropped, same, "left_anti")
     if not again.isEmpty():
         repeated = kept.join(again, same, "left_semi").dropDuplicates([key, "__row"])
         kept = kept.join(again, same, "left_anti").unionByName(repeated)
-    return kept.select(*columns)
+    return marked.where("not __maybe").unionByName(kept).select(*columns)
