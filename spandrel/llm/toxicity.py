@@ -230,26 +230,44 @@ def _top(words: np.ndarray, scores: np.ndarray, within: float) -> np.ndarray:
     return words[order[scores[order] >= scores[order[0]] - within]]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Lists one after the other, and where each begins."""
-    return np.array([x for xs in lists for x in xs], np.int64), np.cumsum([0, *map(len, lists)])
-
-
-def train(documents: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS) -> Model:
-    """From (label, distinct parts of words) of each labelled document."""
-    labels = np.array([y for y, _ in documents], np.int64)
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The numbers of the runs of four and five letters of each word, one word after the other, where each begins, and how many runs there are."""
+    letters = np.zeros((len(words), WINDOW), np.int32)
+    for i, w in enumerate(words):
+        letters[i, : len(w)] = np.frombuffer(w, np.uint8)
+    codes = []
+    for n in (4, 5):
+        for i in range(WINDOW - n + 1):
+            code = np.full(len(words), n, np.int32)
+            for k in range(n):
+                code = code * _BASE + letters[:, i + k]
+            codes.append(np.where(letters[:, i + n - 1] > 0, code, -1))
+    codes = np.stack(codes, 1)
+    there = codes >= 0
+    known, numbers = np.unique(codes[there], return_inverse=True)
+    return numbers.astype(np.int32), np.concatenate([[0], np.cumsum(there.sum(1))]), len(known)
+
+
+def train(documents: pa.Table, landmarks: int = LANDMARKS) -> Model:
+    """From columns label and parts, the distinct parts of words of each labelled document; their order is nothing to it."""
+    labels = documents.column("label").to_numpy().astype(np.int64)
     size = _BASE**3
     if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(size), -1.0, 1.0, -40.0)
-    vocabulary = sorted({w for _, ws in documents for w in ws})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    docs = [np.array(sorted(number[w] for w in ws), np.int64) for _, ws in documents]
-    del number
+    parts = documents.column("parts").combine_chunks()
+    parts = parts.chunk(0) if isinstance(parts, pa.ChunkedArray) else parts
+    coded, bounds = parts.flatten().dictionary_encode(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    vocabulary = coded.dictionary.to_pylist()
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    vocabulary, numbers = [vocabulary[i] for i in order], rank[coded.indices.to_numpy()]
+    docs = [np.unique(numbers[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+    del documents, parts, coded, order, rank, numbers
 
     # First witnesses: the words whose four or five letters in a row are the most telling in their document.
-    grams: dict[bytes, int] = {}
-    of_word, starts = _flat([sorted({grams.setdefault(w[i : i + n], len(grams)) for n in (4, 5) for i in range(max(1, len(w) - n + 1))}) for w in vocabulary])
-    held, count = np.zeros((2, len(grams))), np.zeros((2, len(vocabulary)), np.int64)
+    of_word, starts, n_grams = _grams(vocabulary)
+    held, count = np.zeros((2, n_grams)), np.zeros((2, len(vocabulary)), np.int64)
     for y, ws in zip(labels, docs, strict=True):
         if len(ws):
             held[y, np.unique(np.concatenate([of_word[starts[w] : starts[w + 1]] for w in ws]))] += 1
@@ -334,9 +352,12 @@ def _first_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([label], pa.int32()), pa.array([h], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=names)
 
 
+_PARTS = pa.schema([("label", pa.int32()), ("parts", pa.list_(pa.binary()))])
+
+
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(label, parts) for b in batches for label, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    m = train(sorted(rows))
+    rows = [pa.RecordBatch.from_arrays(b.columns, names=_PARTS.names) for b in batches]
+    m = train(pa.Table.from_batches(rows) if rows else _PARTS.empty_table())
     yield pa.RecordBatch.from_pydict({"weights": pa.array([m.weights.tobytes()], pa.binary()), "bias": [m.bias], "slope": [float(m.slope)], "shift": [float(m.shift)]})
 
 
@@ -353,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str =
     cut = rows.mapInArrow(_first_of_key, f"key {kind}, label int, hash bigint, parts array<binary>")
     one = cut.groupBy("key").agg(F.min(F.struct("hash", "label", "parts")).alias("x")).select("x.label", "x.parts")
     got = one.repartition(1).mapInArrow(_trained, "weights binary, bias double, slope double, shift double").first()
-    return train([]) if got is None else Model(np.frombuffer(got["weights"], np.float32), got["bias"], got["slope"], got["shift"])
+    return train(_PARTS.empty_table()) if got is None else Model(np.frombuffer(got["weights"], np.float32), got["bias"], got["slope"], got["shift"])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -259,7 +259,7 @@ def test_toxicity(spark, none):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id bigint, text string"), model).collect()}
     assert [got[i] >= 0.5 for i in range(len(tests))] == [True] * 5 + [False] * 5 and all(0 <= x <= 1 for x in got.values())
     assert toxicity.score(none, model).count() == 0
-    empty = toxicity.train([])
+    empty = toxicity.train(toxicity._PARTS.empty_table())
     assert toxicity.Scorer(empty).highest(["idiot"])[0] < 0
     odd = docs.drop("toxic").unionByName(spark.createDataFrame([(0, None), (None, "an idiot"), (1, ""), (4, "zzz")], "doc_id bigint, text string")).withColumns({"score": toxicity.F.lit(1), "key": toxicity.F.lit("k")})
     again = toxicity.fit(odd.unionByName(odd.where("doc_id % 7 = 0")), docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id bigint, toxic int")))
