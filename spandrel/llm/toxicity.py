@@ -232,20 +232,25 @@ def _top(words: np.ndarray, scores: np.ndarray, within: float) -> np.ndarray:
 
 def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     """The numbers of the runs of four and five letters of each word, one word after the other, where each begins, and how many runs there are."""
-    letters = np.zeros((len(words), WINDOW), np.int32)
-    for i, w in enumerate(words):
-        letters[i, : len(w)] = np.frombuffer(w, np.uint8)
-    codes = []
-    for n in (4, 5):
-        for i in range(WINDOW - n + 1):
-            code = np.full(len(words), n, np.int32)
+
+    def codes(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.zeros((len(some), WINDOW), np.int32)
+        for i, w in enumerate(some):
+            letters[i, : len(w)] = np.frombuffer(w, np.uint8)
+        out = np.full((len(some), 2 * WINDOW - 7), -1, np.int32)
+        for column, (n, i) in enumerate((n, i) for n in (4, 5) for i in range(WINDOW - n + 1)):
+            code = np.full(len(some), n, np.int32)
             for k in range(n):
                 code = code * _BASE + letters[:, i + k]
-            codes.append(np.where(letters[:, i + n - 1] > 0, code, -1))
-    codes = np.stack(codes, 1)
-    there = codes >= 0
-    known, numbers = np.unique(codes[there], return_inverse=True)
-    return numbers.astype(np.int32), np.concatenate([[0], np.cumsum(there.sum(1))]), len(known)
+            out[:, column] = np.where(letters[:, i + n - 1] > 0, code, -1)
+        return out[out >= 0], (out >= 0).sum(1)
+
+    blocks = [words[i : i + 8192] for i in range(0, len(words), 8192)]
+    known = np.zeros(0, np.int32)
+    for block in blocks:
+        known = np.union1d(known, codes(block)[0])
+    found = [(np.searchsorted(known, c).astype(np.int32), n) for c, n in map(codes, blocks)]
+    return np.concatenate([c for c, _ in found]), np.concatenate([[0], *(n for _, n in found)]).cumsum(), len(known)
 
 
 def train(documents: pa.Table, landmarks: int = LANDMARKS) -> Model:
@@ -294,7 +299,10 @@ def train(documents: pa.Table, landmarks: int = LANDMARKS) -> Model:
     for i in range(len(chosen)):
         real = weights[i] > 0
         np.add.at(space[:, i], place[codes[i][real]], weights[i][real])
-    kernel = space.T.astype(np.float64) @ space
+    kernel = np.zeros((len(chosen), len(chosen)))
+    for at in range(0, len(space), 2048):
+        part = space[at : at + 2048].astype(np.float64)
+        kernel += part.T @ part
     values, vectors = np.linalg.eigh(kernel)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
