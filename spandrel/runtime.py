@@ -81,7 +81,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch to a Python worker: its texts, their copies and what is made of them stay small.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
