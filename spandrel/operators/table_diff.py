@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 from typing import Any
 
 from pyspark import StorageLevel
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from spandrel.functions.render import rendered
 from spandrel.functions.semantics import change, domain, nested
-from spandrel.plans.keyed import grouped
+from spandrel.plans.keyed import form, grouped, label, placed
 from spandrel.sources.tables import as_dataframe
 
 from .schema_diff import SCHEMA_DIFF, check_schema, schema_diff, types_equal
@@ -21,6 +22,7 @@ from .schema_diff import SCHEMA_DIFF, check_schema, schema_diff, types_equal
 MAX_THREADS = 1024
 #: Rows that to_json() writes at most, all members together.
 MAX_JSON_ROWS = 10_000
+CELLS = "array<struct<rank:int,column:string,old_value:string,new_value:string,change:string>>"
 
 
 def check_threads(threads: int | None) -> int | None:
@@ -89,26 +91,42 @@ class TableDiff:
     def _paired(self) -> str:
         return "lc = 1 AND rc = 1"
 
-    def _cells(self) -> Column:
-        """The changed cells of a pair of rows: structs of rank, column, old_value, new_value, change."""
+    def _types(self, name: str) -> tuple[T.DataType, T.DataType]:
+        return _type(self.left.schema, name), _type(self.right.schema, name)
+
+    def _cells(self, old, new) -> Column:
+        """The changed cells of a pair of rows: structs of rank, column, old_value, new_value, change; ``old`` and ``new`` give a column by its rank."""
         cells = []
         for rank, name in enumerate(self.values):
-            lt, rt = _type(self.left.schema, name), _type(self.right.schema, name)
-            old, new = F.col(f"lv.v{rank}"), F.col(f"rv.v{rank}")
-            label = change(old, new, lt, rt)
-            shown = F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("column"), rendered(old, lt, rt).alias("old_value"), rendered(new, rt, lt).alias("new_value"), label.alias("change"))
-            cells.append(F.when(label.isNotNull(), shown))
-        if not cells:
-            return F.array().cast("array<struct<rank:int,column:string,old_value:string,new_value:string,change:string>>")
+            lt, rt = self._types(name)
+            kind = change(old(rank), new(rank), lt, rt)
+            shown = F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("column"), rendered(old(rank), lt, rt).alias("old_value"), rendered(new(rank), rt, lt).alias("new_value"), kind.alias("change"))
+            cells.append(F.when(kind.isNotNull(), shown))
         return F.filter(F.array(*cells), lambda c: c.isNotNull())
 
     def _changes(self) -> Column:
         """How many cells of a pair of rows have changed."""
         total = F.lit(0)
         for i, name in enumerate(self.values):
-            total = total + F.when(change(F.col(f"lv.v{i}"), F.col(f"rv.v{i}"), _type(self.left.schema, name), _type(self.right.schema, name)).isNotNull(), 1).otherwise(0)
+            total = total + F.when(label(i, *self._types(name)).isNotNull(), 1).otherwise(0)
         return total
 
+    def _changed(self) -> DataFrame:
+        """The pairs of rows with changed cells: k0.., and c, their cells."""
+        changed = self.groups.where(self._paired).where(self._changes() > 0)
+        keys = self._keys(changed)
+        fetched = [i for i, name in enumerate(self.values) if form(*self._types(name)) != "value"]
+        # What groups don't carry comes from the tables, for changed rows only; it is compared whole.
+        rows = changed.drop("lc", "rc")
+        for df, side in ((self.left, "l"), (self.right, "r")) if fetched else ():
+            own = placed(df, side)
+            at = lambda name: F.col(f"{side}{df.columns.index(name)}")  # noqa: B023, E731
+            own = own.select(*[at(k).alias(f"{side}k{i}") for i, k in enumerate(self.key)], *[at(self.values[i]).alias(f"{side}v{i}") for i in fetched])
+            same = reduce(and_, [F.col(f"k{i}").eqNullSafe(F.col(f"{side}k{i}")) for i in range(len(self.key))])
+            rows = rows.join(own, same).drop(*[f"{side}k{i}" for i in range(len(self.key))])
+        cell = lambda side: lambda i: F.col(f"{side}v{i}" if i in fetched else f"{side}{i}")
+        return rows.select(*keys, self._cells(cell("l"), cell("r")).alias("c"))
+
     # Members
 
     def _rows_of(self, df: DataFrame, where: str) -> DataFrame:
@@ -130,8 +148,11 @@ class TableDiff:
 
     def cells_changed(self, ordered: bool = True) -> DataFrame:
         """Key columns, column, old_value, new_value, change; by the keys as text (nulls first), then by the left table's column order."""
-        cells = self.groups.where(self._paired).where(self._changes() > 0).select(*self._keys(self.groups), F.explode(self._cells()).alias("c"))
+        found = self._changed() if self.values else self.groups.where("false").select(*self._keys(self.groups), F.array().cast(CELLS).alias("c"))
+        cells = found.select(*self._keys(found), F.explode("c").alias("c"))
         if ordered:
+            # A sort samples what is below it first: this exchange of the changes keeps the sample from comparing all again.
+            cells = cells.repartition(*self._keys(cells))
             shown = [rendered(F.col(f"k{i}"), _type(self.left.schema, k), suffix=False).asc_nulls_first() for i, k in enumerate(self.key)]
             cells = cells.orderBy(*shown, F.col("c.rank"))
         names = [*self.key, "column", "old_value", "new_value", "change"]
@@ -173,13 +194,17 @@ class TableDiff:
 
     def to_json(self) -> str:
         """Everything as one JSON text; refused beyond MAX_JSON_ROWS rows."""
-        counts = self.summary()
-        rows = sum(counts[c] for c in ("rows_added", "rows_removed", "cells_changed", "duplicate_keys"))
-        if rows > MAX_JSON_ROWS:
-            raise ValueError(f"{rows} rows are more than the {MAX_JSON_ROWS} that to_json() writes")
-        out: dict[str, Any] = {"schema": self.schema, "summary": counts}
-        for name in ("rows_added", "rows_removed", "cells_changed", "duplicate_keys"):
-            out[name] = rows_json(getattr(self, name)())
+        self.persist()  # five members read the groups
+        try:
+            counts = self.summary()
+            rows = sum(counts[c] for c in ("rows_added", "rows_removed", "cells_changed", "duplicate_keys"))
+            if rows > MAX_JSON_ROWS:
+                raise ValueError(f"{rows} rows are more than the {MAX_JSON_ROWS} that to_json() writes")
+            out: dict[str, Any] = {"schema": self.schema, "summary": counts}
+            for name in ("rows_added", "rows_removed", "cells_changed", "duplicate_keys"):
+                out[name] = rows_json(getattr(self, name)())
+        finally:
+            self.unpersist()
         return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
 
     def __repr__(self) -> str:

@@ -182,7 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_null_keys": lambda s, d: EVENT_USERS.diff(s, d).summary_frame(),
     "events_null_key_cells": lambda s, d: EVENT_USERS.diff(s, d).cells_changed(),
     "part_type_changed": lambda s, d: PART.diff(s, d).summary_frame(),
-    "part_type_changed_cells": lambda s, d: PART.diff(s, d).cells_changed().where("column <> 'size_wide'"),
+    "part_type_changed_cells": lambda s, d: PART.diff(s, d).cells_changed(),
     "supplier_decimal_scale": lambda s, d: SUPPLIER.diff(s, d).cells_changed(),
     "supplier_summary": lambda s, d: SUPPLIER.diff(s, d).summary_frame(),
     "embeddings_nested_skipped": lambda s, d: EMBEDDINGS.diff(s, d).summary_frame(),
