@@ -53,7 +53,8 @@ _SEED = 11
 
 
 def normal(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum())
+    low = word.lower()
+    return low if low.isalnum() else "".join(filter(str.isalnum, low))
 
 
 def normal_words(text: str | None) -> list[str]:
