@@ -17,7 +17,10 @@ the paragraphs, a document stays one row, and every difference is counted.
 
 The likeness of two texts is the share of common paragraphs: with d recovered
 digests, (a + b - d) / (a + b + d) for sets of a and b. Equal texts have equal
-fingerprints. A null text is empty and has one empty paragraph.
+fingerprints. A null text is empty and has one empty paragraph, as a text of
+line ends has. Repeated rows each have a fingerprint. An empty table gives an
+empty result. Other columns stay as they are; one named ``fingerprint`` is
+replaced.
 """
 
 from __future__ import annotations
@@ -176,7 +179,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
 
     Ranges of the key go to buckets of about BUCKET_BYTES; the first document of
     each bucket also goes to the end of the bucket before, so that one exchange
-    brings neighbours together. Null keys come first; ties go by text.
+    brings neighbours together. Keys are whole numbers; null keys, and others
+    that are none, come first; ties go by text. Other columns are left out.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("__at"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

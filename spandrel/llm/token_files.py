@@ -14,7 +14,8 @@ the task; places in the whole are the sums over earlier tasks, one number a
 task.
 
 Documents go by ascending key through one range exchange. Rows with a null key
-come first, ties go by text. A null text is the end id alone. An empty table
+come first, ties go by text; rows of one key are one range, so one task writes
+them. A null text is the end id alone. An empty table
 gives no files' rows and an empty result. Other columns are ignored.
 """
 

@@ -54,7 +54,7 @@ def _suffixes(h: Column) -> Column:
 def decide(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` (with host and path) and columns rule and action, null where no rule fits.
 
-    ``rules`` has action, host and path; of equally long rules that fit, allow wins.
+    ``rules`` has action, host and path; of equally long rules that fit, allow wins, then the greater host.
     """
     rules = rules.select("action", "host", "path").distinct()
     n = rules.count()
@@ -65,11 +65,15 @@ def decide(rows: DataFrame, rules: DataFrame) -> DataFrame:
             fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
             rule, action = F.when(fits, h + p).otherwise(rule), F.when(fits, a).otherwise(action)
         return rows.withColumns({"rule": rule, "action": action})
-    # Verdicts by distinct host and path; each row has a few suffixes to look up.
+    # Verdicts by distinct host and path; each looks up its domains with the starts of its path that rules have by
+    # their length, so a domain with many rules meets a place only in those that fit.
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # as many as the longest path at most
     places = rows.select("host", "path").where("host <> ''").distinct()
-    met = places.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix")).join(rules.select("action", F.col("host").alias("suffix"), F.col("path").alias("start")), "suffix")
-    best = F.max_by(F.struct(F.concat("suffix", "start").alias("rule"), "action"), F.struct(F.length("suffix") + F.length("start"), F.col("action") == "allow"))
-    verdicts = met.where(F.col("path").startswith(F.col("start"))).groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.action")
+    starts = F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    looked = places.select("host", "path", starts.alias("starts"), F.explode(_suffixes(F.col("host"))).alias("suffix")).select("host", "path", "suffix", F.explode("starts").alias("start"))
+    met = looked.join(rules.select("action", F.col("host").alias("suffix"), F.col("path").alias("start")), ["suffix", "start"])
+    best = F.max_by(F.struct(F.concat("suffix", "start").alias("rule"), "action"), F.struct(F.length("suffix") + F.length("start"), F.col("action") == "allow", "suffix", "start"))
+    verdicts = met.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.action")
     return rows.join(verdicts, ["host", "path"], "left")
 
 

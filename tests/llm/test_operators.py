@@ -220,6 +220,42 @@ def test_licenses(docs, none, spark):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
 
 
+def test_url_rules_of_one_length(spark, monkeypatch):
+    """Many rules of one domain, and ties, by both ways of looking rules up."""
+    rules = [("block", "a.com", "/x/"), ("allow", "b.a.com", "/"), ("block", "b.a.com", "/"), ("block", "c.a.com", "/"), ("allow", "a.com", "/xy"), *(("block", "z.org", f"/p{i}") for i in range(90))]
+    urls = ["http://b.a.com/x/1", "http://c.a.com/x/1", "http://a.com/xyz", "http://z.org/p7/q", "http://z.org/p77", "http://z.org/", "http://q.z.org/p", None]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate([*urls, *urls])], "page_id bigint, url string, html string")
+    got = []
+    for inline in (64, 10_000):
+        monkeypatch.setattr(url_filters, "INLINE_RULES", inline)
+        got.append(sorted((r["page_id"], r["rule"] or "", r["verdict"]) for r in url_filters.judge(pages, url_filters.rules_frame(spark, rules)).collect()))
+    assert got[0] == got[1] and [r[1:] for r in got[0][:8]] == [("b.a.com/", "allow"), ("c.a.com/", "block"), ("a.com/xy", "allow"), ("z.org/p7", "block"), ("z.org/p77", "block"), ("", "allow"), ("", "allow"), ("", "allow")]
+
+
+def test_licenses_against_every_stretch(spark):
+    """A licence is found where some stretch of the text is close enough, and nowhere else."""
+    rng = random.Random(17)
+    templates = tuple((f"L{k}", " ".join(f"t{k}w{rng.randrange(12)}" for _ in range(n))) for k, n in enumerate((9, 14, 22)))
+    sets = [license_scan.bigrams(license_scan.normal_words(t)) for _, t in templates]
+    rows, want = [], {}
+    for i in range(120):
+        words = templates[i % 3][1].split()
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice([f"o{i}", words[0], "x"])
+        text = [f"a{j}" for j in range(rng.randrange(4))] + words + [f"b{j}" for j in range(rng.randrange(4))]
+        best = 0.0
+        for a in range(len(text)):
+            for b in range(a + 2, len(text) + 1):
+                stretch = license_scan.bigrams(text[a:b])
+                best = max(best, *(license_scan.dice(stretch, s) for s in sets))
+        rows.append((i, " ".join(text)))
+        want[i] = best
+    got = {r["doc_id"]: r["dice"] for r in license_scan.scan(spark.createDataFrame([*rows, (0, rows[0][1]), (None, None)], "doc_id bigint, text string"), templates).collect() if r["doc_id"] is not None}
+    found = {i for i, x in want.items() if x >= license_scan.LEAST}
+    assert {i for i, x in got.items() if x is not None} == found and 30 < len(found) < 120
+    assert all(got[i] <= want[i] + 1e-9 for i in found)
+
+
 def test_kernel_is_the_subsequence_kernel():
     """Look-ups of the collapsed features give the kernel by its definition."""
     def plain(s, t):
