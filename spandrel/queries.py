@@ -142,7 +142,7 @@ def _customer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = {"customer": table(spark, sf_dir, "customer")}
     left = spark.sql("SELECT c_custkey, c_name, c_nationkey, 1 AS gone FROM {customer}", **source)
     right = spark.sql("SELECT c_custkey, c_name, CAST(c_nationkey AS STRING) AS c_nationkey, 2.5D AS fresh FROM {customer}", **source)
-    return diff_tables(left, right, key=["c_custkey"]).schema_frame().select("column", "change")
+    return diff_tables(left, right, key=["c_custkey"]).schema_frame().select("column", "change", "left_type", "right_type")
 
 
 def _documents_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,58 @@ def _props_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(pairs, "a", "b", ["user_id"], ignore_order=True)
 
 
+#: A nested document for each order, before and after edits at every depth.
+ORDER_DOCUMENTS = (
+    "SELECT o_orderkey, to_json(named_struct('order', named_struct('key', o_orderkey, 'status', o_orderstatus), 'note', o_orderpriority, "
+    "'parts', transform(sequence(0, 1 + CAST(o_orderkey % 4 AS INT)), i -> named_struct('n', i, 'sum', o_custkey + i)))) AS a, "
+    "regexp_replace(to_json(named_struct('order', named_struct('key', o_orderkey, 'status', CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END), "
+    "'note', CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END, 'flag', CASE WHEN o_orderkey % 11 = 0 THEN true END, "
+    "'parts', transform(sequence(0, 1 + CAST(o_orderkey % 4 AS INT) + CASE o_orderkey % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END), "
+    "i -> named_struct('n', i, 'sum', o_custkey + i + CASE WHEN o_orderkey % 3 = 0 AND i % 2 = 1 THEN 10 ELSE 0 END)))), "
+    "CASE WHEN o_orderkey % 13 = 0 THEN '\"key\":(\\\\d+)' ELSE '$^' END, '\"key\":\"$1\"') AS b FROM {orders}"
+)
+#: Objects in reverse order, some left out, and one more where none is.
+ORDER_SETS = (
+    "SELECT o_orderkey, to_json(v) AS a, to_json(concat(reverse(filter(v, x -> x.v % 10 <> 0)), "
+    "CASE WHEN o_orderkey % 10 = 1 THEN array(named_struct('v', o_orderkey + 100)) ELSE filter(v, x -> false) END)) AS b "
+    "FROM (SELECT o_orderkey, transform(sequence(0, 5), i -> named_struct('v', o_orderkey + i)) AS v FROM {orders})"
+)
+
+
+def _order_findings(sql: str, ignore_order: bool) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: findings(s.sql(sql, orders=table(s, d, "orders")), "a", "b", ["o_orderkey"], ignore_order)
+
+
+def _findings_sql(key: str, parts: list[tuple[str, ...]], source: str) -> str:
+    """Rows of findings from (category, path, old type, new type, old value, new value, condition)."""
+    rows = (
+        f"SELECT {key}, '{category}' AS category, {path} AS path, CAST({old_type} AS VARCHAR) AS old_type, CAST({new_type} AS VARCHAR) AS new_type, "
+        f"CAST({old} AS VARCHAR) AS old_value, CAST({new} AS VARCHAR) AS new_value, CAST(NULL AS VARCHAR) AS new_path, CAST(NULL AS VARCHAR) AS diff FROM {source} WHERE {where}"
+        for category, path, old_type, new_type, old, new, where in parts
+    )
+    return " UNION ALL ".join(rows)
+
+
+def _text_path(path: str) -> str:
+    return "'" + path.replace("'", "''") + "'"
+
+
+def _document_findings_sql() -> str:
+    item = lambda i, more: f"'{{\"n\":' || {i} || ',\"sum\":' || (o_custkey + {i} + {more}) || '}}'"
+    size = "(2 + o_orderkey % 4)"
+    plain = [
+        ("type_changes", _text_path("root['order']['key']"), "'int'", "'str'", "o_orderkey", "'\"' || o_orderkey || '\"'", "o_orderkey % 13 = 0"),
+        ("dictionary_item_removed", _text_path("root['order']['status']"), "NULL", "NULL", "'\"' || o_orderstatus || '\"'", "NULL", "o_orderkey % 5 = 0"),
+        ("dictionary_item_removed", _text_path("root['note']"), "NULL", "NULL", "'\"' || o_orderpriority || '\"'", "NULL", "o_orderkey % 11 = 0"),
+        ("dictionary_item_added", _text_path("root['flag']"), "NULL", "NULL", "NULL", "'true'", "o_orderkey % 11 = 0"),
+        ("iterable_item_added", f"'root[''parts''][' || {size} || ']'", "NULL", "NULL", "NULL", item(size, f"CASE WHEN o_orderkey % 3 = 0 AND {size} % 2 = 1 THEN 10 ELSE 0 END"), "o_orderkey % 7 = 0"),
+        ("iterable_item_removed", f"'root[''parts''][' || ({size} - 1) || ']'", "NULL", "NULL", item(f"({size} - 1)", "0"), "NULL", "o_orderkey % 7 = 1"),
+    ]
+    each = "(SELECT *, unnest(range(0, 2 + o_orderkey % 4 - CASE WHEN o_orderkey % 7 = 1 THEN 1 ELSE 0 END)) AS i FROM orders)"
+    changed = [("values_changed", "'root[''parts''][' || i || '][''sum'']'", "NULL", "NULL", "o_custkey + i", "o_custkey + i + 10", "o_orderkey % 3 = 0 AND i % 2 = 1")]
+    return _findings_sql("o_orderkey", plain, "orders") + " UNION ALL " + _findings_sql("o_orderkey", changed, each)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_summary": lambda s, d: ORDERS.diff(s, d).summary_frame(),
     "orders_rows_added": lambda s, d: ORDERS.diff(s, d).rows_added(),
@@ -191,6 +243,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_props_diff_json": _props_json,
     "events_props_findings": _props_findings,
     "events_ignore_order_findings": _props_unordered,
+    "orders_document_findings": _order_findings(ORDER_DOCUMENTS, False),
+    "orders_unordered_findings": _order_findings(ORDER_SETS, True),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -211,9 +265,32 @@ ORACLE_SQL: dict[str, str] = {
     "supplier_decimal_scale": SUPPLIER.cells_sql(),
     "supplier_summary": SUPPLIER.summary_sql(added=1, changed=1),
     "embeddings_nested_skipped": EMBEDDINGS.summary_sql(),
-    "customer_schema_diff": "SELECT * FROM (VALUES ('gone', 'removed'), ('c_nationkey', 'type_changed'), ('fresh', 'added')) AS t(\"column\", change)",
+    "customer_schema_diff": (
+        "WITH l AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE SELECT c_custkey, c_name, c_nationkey, 1 AS gone FROM customer)), "
+        "r AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE SELECT c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(2.5 AS DOUBLE) AS fresh FROM customer)), "
+        "n AS (SELECT * FROM (VALUES ('INTEGER', 'int'), ('BIGINT', 'bigint'), ('VARCHAR', 'string'), ('DOUBLE', 'double')) AS v(t, label)) "
+        "SELECT coalesce(l.c, r.c) AS \"column\", CASE WHEN r.c IS NULL THEN 'removed' WHEN l.c IS NULL THEN 'added' ELSE 'type_changed' END AS change, "
+        "a.label AS left_type, b.label AS right_type FROM l FULL JOIN r ON l.c = r.c LEFT JOIN n AS a ON a.t = l.t LEFT JOIN n AS b ON b.t = r.t WHERE l.t IS DISTINCT FROM r.t"
+    ),
     "events_props_diff_json": (
         "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN '{}' ELSE "
         "'{\"values_changed\":{\"root[''k'']\":{\"old_value\":' || regexp_extract(props, '(\\d+)\\}', 1) || ',\"new_value\":1' || regexp_extract(props, '(\\d+)\\}', 1) || '}},\"dictionary_item_added\":{\"root[''new'']\":true}}' END AS report FROM events"
     ),
+    "events_props_findings": _findings_sql(
+        "event_id",
+        [
+            ("values_changed", _text_path("root['k']"), "NULL", "NULL", "regexp_extract(props, '(\\d+)\\}', 1)", "'1' || regexp_extract(props, '(\\d+)\\}', 1)", "event_id % 3 = 0"),
+            ("dictionary_item_added", _text_path("root['new']"), "NULL", "NULL", "NULL", "'true'", "event_id % 3 = 0"),
+        ],
+        "events",
+    ),
+    "orders_document_findings": _document_findings_sql(),
+    "orders_unordered_findings": _findings_sql(
+        "o_orderkey",
+        [
+            ("iterable_item_removed", "'root[' || i || ']'", "NULL", "NULL", "'{\"v\":' || (o_orderkey + i) || '}'", "NULL", "(o_orderkey + i) % 10 = 0"),
+            ("iterable_item_added", "'root[6]'", "NULL", "NULL", "NULL", "'{\"v\":' || (o_orderkey + 100) || '}'", "o_orderkey % 10 = 1 AND i = 0"),
+        ],
+        "(SELECT o_orderkey, unnest(range(0, 6)) AS i FROM orders)",
+    ),
 }

@@ -34,7 +34,7 @@ def test_queries_against_sql(spark):
     for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     text = lambda rows: sorted(repr(tuple(map(str, r))) for r in rows)
-    for name in ("orders_summary", "orders_cells_changed", "lineitem_duplicate_keys", "part_type_changed_cells", "events_null_key_cells"):
+    for name in ("orders_summary", "orders_cells_changed", "lineitem_duplicate_keys", "part_type_changed_cells", "events_null_key_cells", "customer_schema_diff", "events_props_findings", "orders_document_findings", "orders_unordered_findings"):
         got = QUERIES[name](spark, DATA)
         columns = sorted(got.columns)
         want = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLE_SQL[name]})").fetchall()
