@@ -100,6 +100,39 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: Pairs of sets by their common shingles, then what is reachable; for small tables.
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (
+  SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM words
+), shingles AS (
+  SELECT r, i, lead(t, 4) OVER x IS NOT NULL AS whole, concat_ws(' ', t, lead(t, 1) OVER x, lead(t, 2) OVER x, lead(t, 3) OVER x, lead(t, 4) OVER x) AS g
+  FROM places WINDOW x AS (PARTITION BY r ORDER BY i)
+), sets AS (
+  SELECT doc_id, coalesce(s, []) AS s
+  FROM words LEFT JOIN (SELECT r, list_sort(list(DISTINCT g)) AS s FROM shingles WHERE whole OR i = 1 GROUP BY r) USING (r)
+), classes AS (
+  SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), grams AS (
+  SELECT c, n, unnest(s) AS g FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM grams AS a JOIN grams AS b ON a.g = b.g AND a.c <> b.c AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION
+  SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a
+), components AS (
+  SELECT a, min(b) AS component FROM reached GROUP BY a
+)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components ON a = c
+"""
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = fingerprints.with_next(table(spark, sf_dir, "documents"))
     half = "cast(char_length(text) div 2 as int)"
@@ -129,4 +162,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_sharding, op4_token_files, op5_url_filters, op6_license_scan, op7_toxicity, op8_jaccard_join, op9_fingerprints, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op8_jaccard_join": OP8_SQL}

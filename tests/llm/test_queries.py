@@ -103,6 +103,30 @@ def paragraphs(text):
     return found or {""}
 
 
+@pytest.mark.parametrize("name, table", [("op5_url_filters", "pages"), ("op8_jaccard_join", "documents")])
+def test_sql(spark, name, table):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, DATA)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_op8_sql_odd_texts():
+    """Case, few words, none, control characters, null and repeated texts, as the contract has them."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(
+        "CREATE TABLE documents AS SELECT * FROM (VALUES (5, 'One tWo'), (3, 'one' || chr(9) || 'two '), (4, 'one'), (7, ''), (8, NULL), (9, chr(32) || chr(13)), "
+        "(10, 'a b c d e f'), (11, 'a b c d e'), (12, 'a b c d e' || chr(160) || ' f'), (13, 'É b'), (14, 'é b')) AS v(doc_id, text)"
+    )
+    found = {d: (n, c) for d, n, c in con.sql(f"SELECT doc_id, n_shingles, component_id FROM ({queries.ORACLE_SQL['op8_jaccard_join']})").fetchall()}
+    assert found == {5: (1, 3), 3: (1, 3), 4: (1, 4), 7: (0, 7), 8: (0, 8), 9: (0, 9), 10: (2, 10), 11: (1, 11), 12: (2, 12), 13: (1, 13), 14: (1, 14)}
+
+
 def test_op9(spark, texts):
     keys = list(texts)
     got = {r["doc_id"]: r for r in rows(spark, queries.op9_fingerprints)}
