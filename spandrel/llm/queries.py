@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.runtime import bound_batches, new_path, table
+from spandrel.runtime import bound_batches, bound_reader, new_path, table
 
 from . import decontamination, fingerprints, jaccard_join, license_scan, packing, sharding, token_counts, token_files, toxicity, url_filters
 
@@ -42,6 +42,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
+    bound_reader(spark)
     path = new_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_WORD_BPE)
     return token_files.read(spark, path, with_ids=False)

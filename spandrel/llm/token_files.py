@@ -39,6 +39,8 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK_IDS = 8192
 GROUP_IDS = 1 << 18
+#: A row is up to a page; Parquet else looks at a page's size after 100 rows, and holds tens of MB for each.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
 
 #: The class of each small value: the selector of the narrowest field that holds it.
@@ -182,7 +184,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str
         ]
     )
     rows = docs.select(key, docs[text_col].alias("__text")).repartitionByRange(key).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col("__text").asc_nulls_first())
-    rows.mapInArrow(run, out).write.parquet(path)
+    rows.mapInArrow(run, out).write.options(**PAGES).parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "bigint", with_ids: bool = True) -> DataFrame:

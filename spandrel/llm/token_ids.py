@@ -18,12 +18,13 @@ Any other file goes to the library text by text.
 from __future__ import annotations
 
 import array
+import functools
 import json
 import os
 import re
 
-WORD_ENTRIES = 350_000
-PART_ENTRIES = 500_000
+WORD_ENTRIES = 150_000
+PART_ENTRIES = 200_000
 #: Longer words are encoded each time.
 KEPT_CHARS = 48
 
@@ -32,8 +33,12 @@ BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: The split of the word-end files, on lower-cased ASCII and Latin letters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"(?:(?!<\|)[!-~À-ÖØ-öø-ÿ])+")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Signs that may end a word of letters and are one part; "<" may begin a special string.
+_SIGNS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 #: str.split() also cuts at these; the library takes them as characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_WIDE = re.compile("[^\x00-\xff]")
 #: Stands for the mark of a word's end; no UTF-8 text has this byte.
 WORD_END = b"\xff"
 _workers: dict = {}
@@ -78,10 +83,15 @@ class ByteLevelIds:
 
 class LibraryIds:
     def __init__(self, path: str):
+        self.path = path
+
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded for the first text that needs it; it takes tens of MB."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        return Tokenizer.from_file(self.path)
 
     def one(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -112,6 +122,10 @@ class WordEndIds(LibraryIds):
         return array.array("I", self.core.encode_single_piece(part.encode() + WORD_END)).tobytes()
 
     def _word(self, word: str) -> bytes:
+        letters = word.rstrip(_SIGNS)
+        if letters.isalpha() and (letters.isascii() or _LETTERS.fullmatch(letters)):
+            ids = self.parts[letters.lower()]
+            return ids if len(letters) == len(word) else ids + self.parts[word[len(letters) :]]
         if not _PLAIN.fullmatch(word):
             return self.one(word)
         parts = _PARTS.findall(word.lower())
@@ -125,6 +139,8 @@ class WordEndIds(LibraryIds):
             elif _SEPARATORS.search(text):
                 out.append(self.one(text))
             else:
+                if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
+                    text = text.lower()  # each of these letters has one lower-case form, the library's; fewer words are cut
                 out.append(b"".join(map(self.words.__getitem__, text.split())))
                 for kept, most in ((self.words, WORD_ENTRIES), (self.parts, PART_ENTRIES)):
                     if len(kept) > most:

@@ -96,5 +96,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Rows that Spark's Parquet reader holds at once. It keeps their texts in one array of the heap, which doubles as it grows.
+READER_ROWS = 128
+
+
+def bound_reader(spark: SparkSession) -> None:
+    """Parquet batches of at most READER_ROWS in this session, for tables of long texts; a smaller bound stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READER_ROWS:
+        spark.conf.set(name, str(READER_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,6 +1,7 @@
 """The operators against plain versions, and on odd tables: nulls, empty and long texts, repeats, no rows, clashing columns."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -159,6 +160,37 @@ def test_token_files(spark, docs, none, texts):
     assert token_files.read(spark, path).count() == 0
 
 
+def test_token_file_pages(spark):
+    """A page is written when it is full, not after 100 rows of half a MB; the ids are those of the texts. Rows of one key are in one file."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(260_000)) for _ in range(8)]
+    path = new_path(spark, "files")
+    token_files.write(spark.createDataFrame([(7, t) for t in texts], "doc_id bigint, text string"), path, WORD, 1)
+    hadoop, conf, pages = spark._jvm.org.apache, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for file in spark.read.parquet(path).inputFiles():
+        reader = hadoop.parquet.hadoop.ParquetFileReader.open(hadoop.parquet.hadoop.util.HadoopInputFile.fromPath(hadoop.hadoop.fs.Path(file), conf))
+        for block in reader.getFooter().getBlocks():
+            words = next(c for c in block.getColumns() if c.getPath().toDotString() == "words")
+            pages.append((words.getTotalUncompressedSize(), reader.readOffsetIndex(words).getPageCount()))
+        reader.close()
+    assert sum(size for size, _ in pages) > 3 << 20 and all(size / count < 2 << 20 for size, count in pages)
+    encoder = token_ids.worker(WORD)
+    got = [bytes(r["ids"]) for r in sorted(token_files.read(spark, path).collect(), key=lambda r: r["start"])]
+    assert got == [encoder.ids([t])[0] + np.array([1], "<u4").tobytes() for t in sorted(texts)]
+
+
+def test_words_in_any_case():
+    """Words of letters and signs need no library; texts with other letters or special strings keep their case."""
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(WORD), token_ids.WordEndIds(WORD, json.loads(open(WORD, encoding="utf-8").read()))
+    for t in ["The THE the. THE!! éCOLE École?", "DON'T it's I'LL' x'", "a:b C-d) (E 12.5 `Q^"]:
+        assert np.frombuffer(encoder.ids([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert "tokenizer" not in vars(encoder)
+    for t in ["<|ENDOFTEXT|> The <|endoftext|>THE", "µ ª º ß ÿ Ÿ Σ ΟΔΟΣ İ", "A<|b|>", *map(chr, range(256)), *(f"Ab{chr(i)}'S" for i in range(256))]:
+        assert np.frombuffer(encoder.ids([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500, i) for i in range(300, 500)] + [(i, i + 1) for i in range(600, 640)] + [(None, 3), (5, 5)]

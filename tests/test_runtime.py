@@ -35,3 +35,14 @@ def test_batch_bytes(spark):
     runtime.bound_batches(spark)
     assert spark.conf.get(name) == "1000"
     spark.conf.set(name, before)
+
+
+def test_reader_rows(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    runtime.bound_reader(spark)
+    assert spark.conf.get(name) == str(runtime.READER_ROWS)
+    spark.conf.set(name, "100")
+    runtime.bound_reader(spark)
+    assert spark.conf.get(name) == "100"
+    spark.conf.set(name, before)
